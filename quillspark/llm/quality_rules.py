@@ -30,13 +30,13 @@ def _repeat_words(w: Column) -> Column:
         step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
         return F.aggregate(at, start, step, lambda a: a["n"])
 
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     )
     # Most texts repeat no window: distinct hashes settle those without sorting pairs.
-    some = F.when(F.size(w) >= 3, let(grams, lambda g: F.when(
-        F.size(F.array_distinct(F.transform(g, lambda x: x["h"]))) < F.size(g), let(F.sort_array(g), count)
+    pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    some = F.when(F.size(w) >= 3, let(hashes, lambda h: F.when(
+        F.size(F.array_distinct(h)) < F.size(h), let(pairs(h), count)
     ).otherwise(F.lit(0))))
     return F.coalesce(some, F.lit(0)).cast("long")
 
