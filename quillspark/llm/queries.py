@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.chat_format import chat_digest, format_chats
 from quillspark.llm.quality_rules import quality_rules
+from quillspark.llm.simhash_dedup import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_dedup": op1_simhash_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_chat_format": op10_chat_format,
     }
