@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.chat_format import chat_digest, format_chats
+from quillspark.llm.mixing import mix_sources
 from quillspark.llm.quality_rules import quality_rules
+from quillspark.llm.sharding import shard_documents
 from quillspark.llm.simhash_dedup import simhash_groups
 from quillspark.llm.warc import read_warc, write_warc
 from quillspark.scratch import new_path
@@ -29,6 +31,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op3_warc": op3_warc,
+        "op2_mixing": op2_mixing,
+        "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
         "op10_chat_format": op10_chat_format,
     }
