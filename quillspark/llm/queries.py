@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.chat_format import chat_digest, format_chats
 from quillspark.llm.mixing import mix_sources
+from quillspark.llm.quality_classifier import fit_quality, score_quality
 from quillspark.llm.quality_rules import quality_rules
 from quillspark.llm.sharding import shard_documents
 from quillspark.llm.simhash_dedup import simhash_groups
+from quillspark.llm.toxicity import fit_toxicity, score_toxicity
 from quillspark.llm.warc import read_warc, write_warc
 from quillspark.scratch import new_path
 
@@ -35,6 +37,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": op1_simhash_dedup,
         "op3_warc": op3_warc,
         "op2_mixing": op2_mixing,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_toxicity": op5_toxicity,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
         "op10_chat_format": op10_chat_format,
