@@ -13,6 +13,7 @@ from quillspark.llm.quality_classifier import fit_quality, score_quality
 from quillspark.llm.quality_rules import quality_rules
 from quillspark.llm.sharding import shard_documents
 from quillspark.llm.simhash_dedup import simhash_groups
+from quillspark.llm.substring_dedup import dedup_substrings
 from quillspark.llm.toxicity import fit_toxicity, score_toxicity
 from quillspark.llm.warc import read_warc, write_warc
 from quillspark.scratch import new_path
@@ -47,6 +48,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
         "op10_chat_format": op10_chat_format,
