@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.chat_format import chat_digest, format_chats
+from quillspark.llm.decontaminate import contaminated
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.quality_classifier import fit_quality, score_quality
 from quillspark.llm.quality_rules import quality_rules
@@ -48,6 +49,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
+        "op6_decontaminate": op6_decontaminate,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
