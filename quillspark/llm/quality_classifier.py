@@ -142,6 +142,12 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, apart: np.ndarray, ua:
     return QualityModel(models[0], models[1], ca, cb, join)
 
 
+def _undecided() -> QualityModel:
+    """Without labels of both kinds every document scores 0.5."""
+    flat = lambda n: Logistic(np.zeros(n), np.ones(n), np.zeros(n + 1))
+    return QualityModel(flat(len(content_view(None))), flat(len(page_view(None, None, None))), flat(1), flat(1), flat(2))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, max_unlabelled: int = 6000, rounds: int = 5) -> QualityModel:
     """Fit on at most ``max_labelled`` documents of each label and ``max_unlabelled`` without one, chosen by hash."""
     columns_of(docs, ["doc_id", "text", "lang", "source"])
@@ -163,7 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000,
     a, b = (np.array(got[c].to_pylist()).reshape(len(y), -1) for c in ("a", "b"))
     apart, known = got["apart"].to_numpy(zero_copy_only=False), y >= 0
     if len(set(y[known])) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return _undecided()
     return co_train(a[known], b[known], y[known], apart[known], a[~known], b[~known], rounds=rounds)
 
 
