@@ -42,9 +42,15 @@ def source_targets(sizes: DataFrame, weights: list[float], max_copies: int) -> D
     return ranked.select("source", "source_size", F.least(F.col("w") * F.lit(level), full.cast("double")).alias("target"))
 
 
-def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, tolerance: float = 1e-10, steps: int = 60) -> DataFrame:
-    """source (as key), lam: the dual's solution for groups (key, prior, mass) and targets (key, target)."""
-    state = materialize(targets.select("key", "target", F.lit(0.0).alias("lam")), "tilts")
+def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, tolerance: float = 1e-9, steps: int = 60) -> DataFrame:
+    """source (as key), lam: the dual's solution for groups (key, prior, mass) and targets (key, target).
+
+    Starts where the sums would meet the targets if no rate stopped at ``max_copies``; where all rates have
+    stopped and the slope is gone, a step goes down by the ratio of target and sum.
+    """
+    sums = groups.groupBy("key").agg(F.sum(F.col("prior") * F.col("mass")).alias("f"))
+    begin = F.when((F.col("f") > 0) & (F.col("target") > 0), F.ln(F.col("target") / F.col("f"))).otherwise(0.0)
+    state = materialize(targets.join(sums, "key", "left").select("key", "target", begin.alias("lam")), "tilts")
     for _ in range(steps):
         rate = F.col("prior") * F.exp("lam")
         sums = groups.join(state, "key").groupBy("key").agg(
@@ -53,9 +59,12 @@ def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, toleran
             F.sum(F.col("mass") * F.least(rate, F.lit(float(max_copies)))).alias("f"),
             F.sum(F.when(rate < max_copies, F.col("mass") * rate).otherwise(0.0)).alias("h"),
         )
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - F.col("f")) / F.col("h")))
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(F.col("target") - F.col("f"), F.col("h"))))
         off = F.abs(F.col("f") - F.col("target")) > F.col("target") * tolerance
-        moved = materialize(sums.select("key", "target", F.when(off & (F.col("h") > 0), F.col("lam") + step).otherwise(F.col("lam")).alias("lam"), off.alias("off")), "tilts")
+        back = F.when((F.col("f") > F.col("target")) & (F.col("target") > 0), F.ln(F.col("target") / F.col("f"))).otherwise(0.0)
+        off = off & ((F.col("h") > 0) | (back < 0))
+        lam = F.col("lam") + F.when(off & (F.col("h") > 0), step).when(off, back).otherwise(0.0)
+        moved = materialize(sums.select("key", "target", lam.alias("lam"), off.alias("off")), "tilts")
         discard(state)
         state = moved.select("key", "target", "lam")
         state._quillspark_path = moved._quillspark_path
@@ -133,7 +142,7 @@ def mix_sources(
     targets = materialize(targets.select(key, "source_size", "target"), "targets")
     groups = materialize(sized.where("size > 0").groupBy(key, "prior").agg(F.sum("size").cast("double").alias("mass")), "masses")
     lams = newton_tilts(groups, targets, max_copies)
-    rated = sized.select("rid", "doc_id", key, "size", "prior", "h").join(targets.join(lams, "key"), "key")
+    rated = sized.select("rid", "doc_id", key, "size", "prior", "h").join(targets.join(lams, "key", "left"), "key")
     rate = F.when(F.col("target") > 0, F.least(F.col("prior") * F.exp("lam"), F.lit(float(max_copies)))).otherwise(0.0)
     copies = _copies(rated.select("rid", "doc_id", "key", "size", "h", rate.alias("rate")), max_copies)
     if carry:

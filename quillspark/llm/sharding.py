@@ -2,7 +2,7 @@
 
 Documents that share a text are linked. Links are kept as cells (text, shard) with a count, so a group
 of any size costs a row per shard. In each round every cell asks to move to the shard that holds
-most of its text and has room; moves are let in, in hash order, up to that shard's quota. Then documents
+most of its text and has room for a cell of it; moves are let in, in hash order, up to that shard's quota. Then documents
 without links fill the shards to their exact row counts.
 """
 
@@ -35,10 +35,11 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
     for _ in range(rounds):
         room = [max(0, t - n) for t, n in zip(targets, _loads(now, shards), strict=True)]
         held = now.groupBy("g", "shard").agg(F.sum("n").alias("n"))
-        wanted = held.withColumn("room", _pick(room, F.col("shard"))).groupBy("g").agg(
-            F.max_by("shard", F.struct(F.col("room") > 0, F.col("n"), -F.col("shard"))).alias("best"),
-            F.max(F.struct(F.col("room") > 0, F.col("n"), -F.col("shard"))).alias("top"),
-        ).where("top.col1").select("g", "best", F.col("top.n").alias("there"))
+        smallest = held.groupBy("g").agg(F.min("n").alias("least"))
+        fits = _pick(room, F.col("shard")) >= F.col("least")
+        rank = F.struct(fits.alias("fits"), F.col("n"), (-F.col("shard")).alias("s"))
+        wanted = held.join(smallest, "g").groupBy("g").agg(F.max(rank).alias("top")).where("top.fits")
+        wanted = wanted.select("g", (-F.col("top.s")).alias("best"), F.col("top.n").alias("there"))
         asked = now.join(wanted, "g").join(held.withColumnRenamed("n", "here"), ["g", "shard"]).where("shard <> best AND here <= there")
         asked = asked.select("g", "origin", "best", "n", F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS)).alias("b"))
         sums = asked.groupBy("best", "b").agg(F.sum("n").alias("n"))
