@@ -2,7 +2,7 @@
 
 Documents that share a text are linked. Links are kept as cells (text, shard) with a count, so a group
 of any size costs a row per shard. In each round every cell asks to move to the shard that holds
-most of its text and has room for a cell of it; moves are let in, in hash order, up to that shard's quota. Then documents
+most of its text and has room for a cell of it; moves are let in, small cells first and then in hash order, up to that shard's quota. Then documents
 without links fill the shards to their exact row counts.
 """
 
@@ -41,7 +41,7 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
         wanted = held.join(smallest, "g").groupBy("g").agg(F.max(rank).alias("top")).where("top.fits")
         wanted = wanted.select("g", (-F.col("top.s")).alias("best"), F.col("top.n").alias("there"))
         asked = now.join(wanted, "g").join(held.withColumnRenamed("n", "here"), ["g", "shard"]).where("shard <> best AND here <= there")
-        asked = asked.select("g", "origin", "best", "n", F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS)).alias("b"))
+        asked = asked.select("g", "origin", "best", "n", (F.length(F.bin("n")) * BUCKETS + F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS))).alias("b"))
         sums = asked.groupBy("best", "b").agg(F.sum("n").alias("n"))
         so_far = F.sum("n").over(Window.partitionBy("best").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         open_ = sums.withColumn("so_far", so_far).where(F.col("so_far") <= _pick(room, F.col("best"))).select("best", "b")
