@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.ranks import sorted_rank, spread_rank
+from quillspark.llm.ranks import size_class, sorted_rank, spread_rank
 from quillspark.llm.text import columns_of, word_count
 from quillspark.scratch import discard, materialize
 
@@ -73,12 +73,6 @@ def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, toleran
     return state.select("key", "lam")
 
 
-def _size_class(size: Column) -> Column:
-    """Sixteen classes to an octave; sizes under 32 have their own."""
-    octave = F.greatest(F.length(F.bin(size)) - 5, F.lit(0))
-    return (octave * 1000 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0))")).cast("int")
-
-
 def _copies(sized: DataFrame, max_copies: int) -> DataFrame:
     """rid, copies. ``sized``: rid, doc_id, key, size, h, rate.
 
@@ -89,7 +83,7 @@ def _copies(sized: DataFrame, max_copies: int) -> DataFrame:
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
     frac = F.greatest(F.col("rate") - whole, F.lit(0.0))
     d = sized.select("rid", "doc_id", "key", "size", "h", whole.alias("whole"), F.when(F.col("size") > 0, frac).otherwise(0.0).alias("frac"))
-    d = d.withColumn("cls", _size_class(F.col("size")) * 16 + F.floor(F.col("frac") * 15.999).cast("int"))
+    d = d.withColumn("cls", size_class(F.col("size")) * 16 + F.floor(F.col("frac") * 15.999).cast("int"))
     classes = d.where("frac > 0").groupBy("key", "cls").agg(
         F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.col("frac") * F.col("size")).alias("want")
     )

@@ -13,6 +13,12 @@ from pyspark.sql.window import Window
 from quillspark.scratch import materialize
 
 
+def size_class(size: Column) -> Column:
+    """An int that grows with a long: sixteen classes to an octave; numbers under 32 have their own."""
+    octave = F.greatest(F.length(F.bin(size)) - 5, F.lit(0))
+    return (octave * 1000 + F.call_function("shiftright", size, octave)).cast("int")
+
+
 def spread_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with a long column ``name``: 0, 1, 2, ... within ``keys`` (no nulls there), by bucket and then ``order``."""
     b = df.withColumn("_bucket", bucket)

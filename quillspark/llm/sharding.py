@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.ranks import spread_rank
+from quillspark.llm.ranks import size_class, spread_rank
 from quillspark.llm.text import columns_of
 from quillspark.scratch import discard, materialize
 
@@ -41,7 +41,7 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
         wanted = held.join(smallest, "g").groupBy("g").agg(F.max(rank).alias("top")).where("top.fits")
         wanted = wanted.select("g", (-F.col("top.s")).alias("best"), F.col("top.n").alias("there"))
         asked = now.join(wanted, "g").join(held.withColumnRenamed("n", "here"), ["g", "shard"]).where("shard <> best AND here <= there")
-        asked = asked.select("g", "origin", "best", "n", (F.length(F.bin("n")) * BUCKETS + F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS))).alias("b"))
+        asked = asked.select("g", "origin", "best", "n", (size_class(F.col("n")) * BUCKETS + F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS))).alias("b"))
         sums = asked.groupBy("best", "b").agg(F.sum("n").alias("n"))
         so_far = F.sum("n").over(Window.partitionBy("best").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         open_ = sums.withColumn("so_far", so_far).where(F.col("so_far") <= _pick(room, F.col("best"))).select("best", "b")
