@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,20 +49,22 @@ def add(flat: DataFrame, items: DataFrame) -> DataFrame:
     present = flat.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "level")).alias("have"))
     asked = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "title", "page_index", "page_count", "parent_index"))).alias("items"))
 
-    def place(rows):
-        for part in rows:
-            out = []
-            for r in part.itertuples():
-                have = [] if r.have is None else list(r.have)
-                levels = [h["level"] for h in sorted(have, key=lambda h: h["seq"])]
-                for x in r.items:
-                    if not 0 <= x["page_index"] < x["page_count"]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "index", "title", "parent", "level"]
+        types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, asked, have in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                levels = [h["level"] for h in sorted(have or [], key=lambda h: h["seq"])]
+                for x in asked:
+                    if x["page_index"] is None or not 0 <= x["page_index"] < x["page_count"]:
                         continue
                     p = x["parent_index"]
                     known = p is not None and 0 <= p < len(levels)
-                    out.append((r.doc_id, len(levels), x["title"], p if known else -1, levels[p] + 1 if known else 0))
+                    out.append((doc, len(levels), x["title"], p if known else -1, levels[p] + 1 if known else 0))
                     levels.append(out[-1][4])
-            yield pd.DataFrame(out, columns=["doc_id", "index", "title", "parent", "level"])
+            cols = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     both = asked.join(present, "doc_id", "left").select("doc_id", "items", "have")
-    return both.mapInPandas(place, "doc_id bigint, index int, title string, parent int, level int")
+    return both.mapInArrow(place, "doc_id bigint, index int, title string, parent int, level int")

@@ -139,7 +139,7 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GLYPHS_SQL},
 e AS (SELECT *, abs(y - lag(y) OVER o) >= 1.5 * height AS br FROM b WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY y, x, block_seq)),
 p AS (SELECT *, CAST(sum(CASE WHEN br THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index ORDER BY y, x, block_seq) AS INT) AS paragraph FROM e)
-SELECT doc_id, CAST(page_index AS INT) AS page_index, paragraph, count(*) AS n_words, string_agg(text, ' ' ORDER BY y, x, block_seq) AS text, 10.0 AS avg_font_size, 0 AS heading_level FROM p GROUP BY 1, 2, 3""")
+SELECT doc_id, CAST(page_index AS INT) AS page_index, paragraph, count(*) AS n_words, string_agg(text, ' ' ORDER BY y, x, block_seq) AS text, CAST(10 AS DOUBLE) AS avg_font_size, 0 AS heading_level FROM p GROUP BY 1, 2, 3""")
 def paragraph_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.headings(segmentation.paragraphs(_words(spark, sf_dir))).select("doc_id", "page_index", "paragraph", "n_words", "text", "avg_font_size", "heading_level")
 
@@ -238,15 +238,15 @@ def move_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ops.move(p, moves).select("doc_id", "page_index", "from_page")
 
 
-@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(page_index AS INT) AS page_index, CASE WHEN page_index = 0 THEN 842.0 ELSE 595.0 END AS width,
-CASE WHEN page_index = 0 THEN 595.0 ELSE 842.0 END AS height, CASE WHEN page_index = 0 THEN 270 ELSE 0 END AS rotation FROM p""")
+@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(page_index AS INT) AS page_index, CAST(CASE WHEN page_index = 0 THEN 842 ELSE 595 END AS DOUBLE) AS width,
+CAST(CASE WHEN page_index = 0 THEN 595 ELSE 842 END AS DOUBLE) AS height, CASE WHEN page_index = 0 THEN 270 ELSE 0 END AS rotation FROM p""")
 def rotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_index"), F.lit(-90).alias("degrees"))
     return page_ops.rotate_pages(_pages(spark, sf_dir), turns)
 
 
-@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(CASE WHEN page_index >= 1 THEN page_index + 1 ELSE page_index END AS INT) AS page_index, 595.0 AS width FROM p
-UNION ALL SELECT doc_id, 1, 300.0 FROM documents""")
+@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(CASE WHEN page_index >= 1 THEN page_index + 1 ELSE page_index END AS INT) AS page_index, CAST(595 AS DOUBLE) AS width FROM p
+UNION ALL SELECT doc_id, 1, 300 FROM documents""")
 def insert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_index"), F.lit(300.0).alias("width"), F.lit(400.0).alias("height"))
     return page_ops.insert(_pages(spark, sf_dir), new).select("doc_id", F.col("page_index").cast("int").alias("page_index"), "width")
@@ -293,8 +293,8 @@ def annotation_delete_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("doc_id", "id").agg(F.count("*").alias("n_left"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS doc_id, unnest([0.1, 0.5]) AS x, p_size / 100.0 AS y FROM part)
-SELECT doc_id, 0 AS page_index, 0.5 AS opacity, round(x * 595.0, 6) AS x, round((1 - y - 0.05) * 842.0, 6) AS y, round(0.2 * 595.0, 6) AS w, round(0.05 * 842.0, 6) AS h FROM r""")
+@query("""WITH r AS (SELECT p_partkey AS doc_id, unnest([1e-1, 5e-1]) AS x, p_size / 1e2 AS y FROM part)
+SELECT doc_id, 0 AS page_index, 5e-1 AS opacity, round(x * 595.0, 6) AS x, round((1 - y - 5e-2) * 842e0, 6) AS y, round(2e-1 * 595e0, 6) AS w, round(5e-2 * 842e0, 6) AS h FROM r""")
 def annotations_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     rect = lambda x: F.struct(F.lit(x).alias("x"), (F.col("p_size") / 100.0).alias("y"), F.lit(0.2).alias("width"), F.lit(0.05).alias("height"))
@@ -340,8 +340,8 @@ def redact_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents),
-b AS (SELECT doc_id, CAST(l // 63 AS INT) AS page_index, 40.0 AS x, 842.0 - (50.0 + 12 * (l % 63)) AS y, text FROM l),
-e AS (SELECT item_id AS doc_id, 0 AS page_index, 30.0 AS x, 600.0 AS y, 200.0 AS width, 100.0 AS height, text FROM benchmark),
+b AS (SELECT doc_id, CAST(l // 63 AS INT) AS page_index, 40e0 AS x, 842e0 - (50e0 + 12 * (l % 63)) AS y, text FROM l),
+e AS (SELECT item_id AS doc_id, 0 AS page_index, 30e0 AS x, 600e0 AS y, 200e0 AS width, 100e0 AS height, text FROM benchmark),
 k AS (SELECT doc_id, page_index, x, y, text FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = b.doc_id AND e.page_index = b.page_index
   AND b.x >= e.x - 15 AND b.x <= e.x + e.width + 15 AND b.y >= e.y - 15 AND b.y <= e.y + e.height + 15))
 SELECT doc_id, page_index, round(x, 6) AS x, round(y, 6) AS y, text, CAST(NULL AS DOUBLE) AS font_size FROM k UNION ALL
@@ -366,7 +366,7 @@ def token_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["token_origins"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)
-SELECT l_orderkey AS doc_id, 0 AS page_index, n * 10 + unnest([4, 6]) AS seq, 'Tj' AS op, l_linestatus AS text, 3.0 + l_quantity AS x, 2.0 * l_suppkey + 5 AS y FROM r"""
+SELECT l_orderkey AS doc_id, 0 AS page_index, n * 10 + unnest([4, 6]) AS seq, 'Tj' AS op, l_linestatus AS text, 3.0 + l_quantity AS x, 2e0 * l_suppkey + 5 AS y FROM r"""
 
 
 # ---------------------------------------------------------------------------------- forms, outline
@@ -521,7 +521,7 @@ XML_SQL = """replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 x AS (SELECT doc_id, i, '<w:p>' || CASE WHEN i = 0 THEN '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' ELSE '' END || '<w:r><w:rPr>' || CASE WHEN i = 0 THEN '<w:b/><w:i/>' ELSE '' END
   || '<w:sz w:val="' || CASE WHEN i = 0 THEN '40' ELSE '22' END || '"/></w:rPr><w:t xml:space="preserve">' || {XML_SQL} || '</w:t></w:r></w:p>' AS x FROM l)
-SELECT doc_id, md5(string_agg(x, '' ORDER BY i)) AS body_md5, sum(length(x)) AS body_chars FROM x GROUP BY 1""")
+SELECT doc_id, md5(string_agg(x, '' ORDER BY i)) AS body_md5, CAST(sum(length(x)) AS BIGINT) AS body_chars FROM x GROUP BY 1""")
 def docx_runs_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = docx_xml.body_xml(_runs(spark, sf_dir, "documents", "doc_id"))
     return body.select("doc_id", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), F.length("body").cast("bigint").alias("body_chars"))
