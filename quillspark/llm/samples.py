@@ -22,5 +22,5 @@ def labelled_ids(labels: DataFrame, label_col: str, most: int, where: Column | N
 def texts_of(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """``ids`` with ``columns`` of their documents; the least row where an id is repeated. ``ids`` is small by its bound."""
     row = F.struct(*columns)
-    found = docs.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min(row).alias("r"))
+    found = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min(row).alias("r"))
     return found.select(*ids.columns, *(F.col(f"r.{c}").alias(c) for c in columns))
