@@ -102,5 +102,46 @@ FROM f
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT rid, doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS hs FROM d WHERE len(w) >= 50),
+x AS (SELECT rid, doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS at FROM x JOIN f USING (h) WHERE doc_id > first),
+p AS (SELECT rid, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+k AS (SELECT p.rid, count(gone.at) AS n_removed, string_agg(word, ' ' ORDER BY p.at) FILTER (WHERE gone.at IS NULL) AS kept
+  FROM p LEFT JOIN gone ON p.rid = gone.rid AND p.at = gone.at GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+again AS (SELECT rid, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM g JOIN again USING (rid, g)) GROUP BY 1),
+raw AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+l AS (SELECT rid, source, t, line, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
+hosts AS (SELECT source, greatest(50, 0.05 * count(DISTINCT t)) AS most FROM d GROUP BY 1),
+often AS (SELECT source, norm FROM l JOIN hosts USING (source) GROUP BY 1, 2 HAVING count(DISTINCT t) > any_value(most)),
+cut AS (SELECT rid, sum(len(string_split(norm, ' '))) AS n FROM l JOIN often USING (source, norm) GROUP BY 1),
+b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(cut.n, 0) AS c FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN cut USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - c >= 0.3 * n_words AS kept, CAST(c AS BIGINT) AS n_line_words_removed FROM b
+"""
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL
+  SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, lag(r) OVER k AS before, row_number() OVER k AS i, length(replace(replace(t, '\', '\\'), '<|', '<\|')) AS nt, length(replace(replace(r, '\', '\\'), '<|', '<\|')) AS nr
+  FROM c WINDOW k AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(nt + CASE WHEN before = r THEN 8 ELSE 23 + nr END) AS BIGINT) AS formatted_chars FROM o GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_chat_format": OP10_SQL}
