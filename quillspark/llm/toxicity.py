@@ -9,8 +9,9 @@ sentences offend.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,14 +66,54 @@ class ToxicityModel:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def telling_features(bags: list[list[frozenset[str]]], y: list[int], least: int = 4, most: int = 5000, evidence: float = 25.0) -> list[str]:
-    """Features that distinct sentences of toxic documents have more often than others, by a likelihood ratio.
+@dataclass
+class Bags:
+    """Sentences as distinct word numbers, end to end, so that a sample takes few bytes a word."""
+
+    vocabulary: list[str]
+    words: np.ndarray
+    sentence_of: np.ndarray
+    bag_of: np.ndarray
+    y: np.ndarray
+    first_seen: np.ndarray
+
+
+def encode(rows: Iterable[tuple[str | None, int]]) -> Bags:
+    """Bags of (text, label) rows; texts without sentences are left out. Rows are read once and not kept."""
+    known: dict[str, int] = {}
+    words, sizes, bag_of, y, first = array("i"), array("i"), array("i"), [], bytearray()
+    seen: set[int] = set()
+    for text, label in rows:
+        pieces = sentences(text)
+        for s in pieces:
+            ids = sorted(known.setdefault(w, len(known)) for w in sorted(set(TOKEN.findall(s))))
+            words.extend(ids)
+            sizes.append(len(ids))
+            bag_of.append(len(y))
+            key = hash((label, *ids))
+            first.append(key not in seen)
+            seen.add(key)
+        if pieces:
+            y.append(float(label))
+    n = np.array(sizes, dtype=np.int64)
+    return Bags(list(known), np.array(words, dtype=np.int64), np.repeat(np.arange(len(n)), n), np.array(bag_of, dtype=np.int64), np.array(y), np.frombuffer(bytes(first), dtype=np.uint8).astype(bool))
+
+
+def telling_features(bags: Bags, least: int = 4, most: int = 5000, evidence: float = 25.0) -> list[str]:
+    """Features that toxic documents' distinct sentences have more often than others, by a likelihood ratio.
 
     Counting distinct sentences keeps copies of a document from counting more than once.
     """
-    sides = [{s for bag, v in zip(bags, y, strict=True) if v == side for s in bag} for side in (0, 1)]
-    neg, pos = (Counter(f for s in side for f in {f for w in s for f in features(w)}) for side in sides)
-    rate = len(sides[1]) / max(1, len(sides[0]) + len(sides[1]))
+    counted = bags.first_seen[bags.sentence_of]
+    toxic = bags.y[bags.bag_of[bags.sentence_of]] == 1
+    size = len(bags.vocabulary)
+    sides = [np.bincount(bags.words[counted & (toxic == v)], minlength=size) for v in (False, True)]
+    rate = sides[1].sum() / max(1, sides[0].sum() + sides[1].sum())
+    neg, pos = Counter(), Counter()
+    for word, n, k in zip(bags.vocabulary, *(x.tolist() for x in sides), strict=True):
+        for f in features(word):
+            neg[f] += n
+            pos[f] += k
     found = []
     for f, k in pos.items():
         n = k + neg[f]
@@ -83,19 +124,22 @@ def telling_features(bags: list[list[frozenset[str]]], y: list[int], least: int
     return [f for _, f in sorted(found)[:most]]
 
 
-def train(texts: list[str | None], labels: list[int], *, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> ToxicityModel:
+def train(rows: Iterable[tuple[str | None, int]], *, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> ToxicityModel:
     """Fit by Adam over all bags at once, from zero weights on the telling features."""
-    bags = [[frozenset(TOKEN.findall(s)) for s in sentences(t)] for t in texts]
-    pairs = [(bag, v) for bag, v in zip(bags, labels, strict=True) if bag]
-    if not pairs or len({v for _, v in pairs}) < 2:
+    bags = encode(rows)
+    y, bag_of = bags.y, bags.bag_of
+    if len(set(y.tolist())) < 2:
         return ToxicityModel({}, -20.0)
-    bags, y = [b for b, _ in pairs], np.array([v for _, v in pairs], dtype=float)
-    names = telling_features(bags, [v for _, v in pairs])
+    names = telling_features(bags)
     index = {f: i for i, f in enumerate(names)}
-    rows = [[index[f] for w in s for f in features(w) if f in index] for bag in bags for s in bag]
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.fromiter((i for r in rows for i in sorted(r)), dtype=np.int64, count=len(of))
-    bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    of_word = [[index[f] for f in features(w) if f in index] for w in bags.vocabulary]
+    n = np.array([len(x) for x in of_word], dtype=np.int64)
+    begin, flat = np.cumsum(n) - n, np.array([i for x in of_word for i in x], dtype=np.int64)
+    some = n[bags.words] > 0
+    words, of = bags.words[some], bags.sentence_of[some]
+    k = n[words]
+    col = flat[np.repeat(begin[words], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+    of = np.repeat(of, k)
     w, bias = np.zeros(len(names)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -114,12 +158,12 @@ def train(texts: list[str | None], labels: list[int], *, steps: int = 300, rate:
     return ToxicityModel({f: float(w[i]) for f, i in index.items()}, float(bias))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, label_col: str = "toxic") -> ToxicityModel:
     """Train on at most ``max_labelled`` documents of each label, none of them held out."""
     columns_of(docs, ["doc_id", "text"])
     ids = labelled_ids(labels, label_col, max_labelled, ~held_out(F.col("doc_id")))
-    rows = texts_of(docs, ids, ["text"]).select("doc_id", "y", "text").orderBy("doc_id").collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    rows = texts_of(docs, ids, ["text"]).select("doc_id", "y", "text").orderBy("doc_id").toLocalIterator()
+    return train((r["text"], r["y"]) for r in rows)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
