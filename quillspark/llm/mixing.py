@@ -136,7 +136,8 @@ def mix_sources(
     targets = materialize(targets.select(key, "source_size", "target"), "targets")
     groups = materialize(sized.where("size > 0").groupBy(key, "prior").agg(F.sum("size").cast("double").alias("mass")), "masses")
     lams = newton_tilts(groups, targets, max_copies)
-    rated = sized.select("rid", "doc_id", key, "size", "prior", "h").join(targets.join(lams, "key", "left"), "key")
+    tilts = materialize(targets.join(lams, "key", "left"), "target-tilts")
+    rated = sized.select("rid", "doc_id", key, "size", "prior", "h").join(tilts, "key")
     rate = F.when(F.col("target") > 0, F.least(F.col("prior") * F.exp("lam"), F.lit(float(max_copies)))).otherwise(0.0)
     copies = _copies(rated.select("rid", "doc_id", "key", "size", "h", rate.alias("rate")), max_copies)
     if carry:

@@ -21,8 +21,9 @@ def size_class(size: Column) -> Column:
 
 def spread_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with a long column ``name``: 0, 1, 2, ... within ``keys`` (no nulls there), by bucket and then ``order``."""
-    b = df.withColumn("_bucket", bucket)
     on = [*keys, "_bucket"]
+    # Without this, rows that are dealt by ``keys`` already would stay so.
+    b = df.withColumn("_bucket", bucket).repartition(*on)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = b.groupBy(*on).agg(F.count("*").alias("_n")).select(*on, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*on).orderBy(*order)).cast("long") - 1
