@@ -148,12 +148,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     windows = named.join(asked, ["doc", "t"]).select("doc", "body", "runs")
     windows = materialize(windows.mapInArrow(spread, "w1 bigint, w2 bigint, r1 bigint, r2 bigint, off int, doc bigint"), "windows")
-    earlier = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    hit = windows.join(earlier.select("w1", "w2", "lo"), ["w1", "w2"]).where("doc > lo").select("r1", "r2", "off", F.col("doc").alias("d0")).distinct()
+    earlier = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    earlier = materialize(earlier, "shared-windows")  # so that the join deals rows anew and can divide a window that many have
+    hit = windows.join(earlier, ["w1", "w2"]).where("doc > lo").select("r1", "r2", "off", F.col("doc").alias("d0")).distinct()
     single = cand.join(hit, ["r1", "r2"]).where("doc = d0").select("doc", "t", (F.col("s0") + F.col("off")).alias("a"), (F.col("s0") + F.col("off")).alias("b"))
     spans = whole.unionByName(single).groupBy("doc", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     spans = materialize(spans, "spans")
-    for x in (windows, firsts, cand):
+    for x in (windows, earlier, firsts, cand):
         discard(x)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
