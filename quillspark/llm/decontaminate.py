@@ -2,8 +2,9 @@
 
 1. Windows. A window as long as an item that is similar to it by ``similarity`` has at least one of
    any of the item's shingles that together weigh more than ``1 - similarity`` of it. Such anchors, the
-   rarest in the benchmark, are looked up among the documents' shingles; each hit sets a window where
-   the item would have to start. No similar window is lost.
+   rarest in the benchmark, are looked up among the documents' shingles; each hit sets a window at
+   every start from which an item-sized window covers it. No similar window is lost, in whatever
+   order it has the item's parts.
 2. Fingerprints. Each window's SimHash is looked up among those of the items of its length in a
    multi-index of ``radius + 1`` blocks of bits: two fingerprints within the radius share a block.
 3. Verification. What is within the radius is compared exactly, by weighted Jaccard over shingles,
@@ -80,13 +81,13 @@ def contaminated(
     items = items.select("item_id", "len", "k", _any_width(F.col("w"), F.lit(0), F.col("len"), F.col("k"), width).alias("hs"))
     items = materialize(items.select("*", let(F.col("hs"), _simhash).alias("fp")), "items")
 
-    shingles = items.select("item_id", "len", "k", F.size("hs").alias("weight"), F.posexplode("hs").alias("o", "h"))
-    counts = shingles.groupBy("item_id", "len", "k", "weight", "h").agg(F.count("*").alias("c"), F.collect_list("o").alias("offsets"))
+    shingles = items.select("item_id", "len", "k", F.size("hs").alias("weight"), F.explode("hs").alias("h"))
+    counts = shingles.groupBy("item_id", "len", "k", "weight", "h").agg(F.count("*").alias("c"))
     common = counts.groupBy("h").agg(F.count("*").alias("in_items"))
     rarest = Window.partitionBy("item_id", "len").orderBy("in_items", "h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("c").over(rarest), F.lit(0))
     anchors = counts.join(common, "h").withColumn("before", before).where(F.col("before") <= F.col("weight") * (1 - similarity))
-    anchors = materialize(anchors.select("h", "k", "len", F.explode("offsets").alias("o")).distinct(), "anchors")
+    anchors = materialize(anchors.select("h", "k", "len").distinct(), "anchors")
     small = anchors.count() <= broadcast_rows
     widths = [r["k"] for r in anchors.select("k").distinct().collect()] or [width]
 
@@ -95,25 +96,30 @@ def contaminated(
     hits = None
     for k, hs in zip(sorted(widths), each, strict=True):
         at = named.select("row_key", F.posexplode(hs).alias("p", "h"))
-        with_k = anchors.where(F.col("k") == k).select("h", "len", "o")
-        got = at.join(F.broadcast(with_k) if small else with_k, "h").select("row_key", "len", F.lit(k).alias("k"), (F.col("p") - F.col("o")).alias("at"))
+        with_k = anchors.where(F.col("k") == k).select("h", "len")
+        got = at.join(F.broadcast(with_k) if small else with_k, "h").select("row_key", "len", F.lit(k).alias("k"), "p")
         hits = got if hits is None else hits.unionAll(got)
-    asked = materialize(hits.groupBy("row_key").agg(F.collect_set(F.struct("at", "len", "k")).alias("windows")), "windows")
-
-    found = named.join(asked, "row_key").select("doc_id", "row_key", "w", F.explode("windows").alias("x"))
-    begin = F.greatest(F.col("x.at"), F.lit(0))
-    found = found.select("doc_id", "row_key", "w", begin.alias("first_word"), (F.least(F.col("x.at") + F.col("x.len"), F.size("w")) - begin).alias("n_words"), F.col("x.len").alias("len"), F.col("x.k").alias("k"))
-    found = found.withColumn("ws", _any_width(F.col("w"), F.col("first_word"), F.col("n_words"), F.col("k"), width)).drop("w")
-    found = found.where("size(ws) > 0").withColumn("wfp", let(F.col("ws"), _simhash))
-    found = materialize(found, "window-fingerprints")
-
-    index = items.select("item_id", "len", "hs", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "len", "hs", "fp", "b.no", "b.bits")
-    probes = found.withColumn("b", F.explode(_blocks(F.col("wfp"), radius))).select("doc_id", "row_key", "first_word", "n_words", "len", "ws", "wfp", "b.no", "b.bits")
+    asked = hits.groupBy("row_key", "len", "k").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    # Starts that cover a hit, less those that cover the one before: ranges without overlap.
+    ranges = F.transform("ps", lambda p, i: F.struct(F.greatest(p - F.col("len") + F.col("k"), F.get("ps", i - 1) + 1).alias("a"), p.alias("z")))
+    asked = materialize(asked.groupBy("row_key").agg(F.collect_list(F.struct("len", "k", ranges.alias("ranges"))).alias("regions")), "windows")
+
+    found = named.join(asked, "row_key").select("doc_id", "row_key", "w", F.explode("regions").alias("x"))
+    hs = _any_width(F.col("w"), F.lit(0), F.size("w"), F.col("x.k"), width)
+    found = found.select("doc_id", "row_key", "x.len", "x.k", F.size("w").alias("n"), hs.alias("hs"), F.explode("x.ranges").alias("r"))
+    found = found.select("doc_id", "row_key", "len", "k", "n", "hs", F.explode(F.sequence("r.a", "r.z")).alias("at"))
+    begin = F.greatest(F.col("at"), F.lit(0))
+    found = found.select("doc_id", "row_key", begin.alias("first_word"), (F.least(F.col("at") + F.col("len"), F.col("n")) - begin).alias("n_words"), "len", "k", "hs")
+    found = found.withColumn("ws", F.slice("hs", F.col("first_word") + 1, F.col("n_words") - F.col("k") + 1)).drop("hs", "k")
+    found = materialize(found.withColumn("wfp", let(F.col("ws"), _simhash)), "window-fingerprints")
+
+    index = items.select("len", "fp").distinct().withColumn("b", F.explode(_blocks(F.col("fp"), radius))).select("len", "fp", "b.no", "b.bits")
+    index = F.broadcast(index) if items.count() * (radius + 1) <= broadcast_rows else index
+    probes = found.select("len", "wfp").distinct().withColumn("b", F.explode(_blocks(F.col("wfp"), radius))).select("len", "wfp", "b.no", "b.bits")
     pairs = probes.join(index, ["len", "no", "bits"])
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))
-    mine, its = _blocks(F.col("wfp"), radius), _blocks(F.col("fp"), radius)
-    first_block = F.element_at(F.filter(F.zip_with(mine, its, lambda a, b: F.when(a["bits"] == b["bits"], a["no"])), lambda x: x.isNotNull()), 1)
-    near = pairs.withColumn("hamming", apart).where((F.col("hamming") <= radius) & (F.col("no") == first_block))
+    near = materialize(pairs.withColumn("hamming", apart).where(F.col("hamming") <= radius).select("len", "wfp", "fp", "hamming").distinct(), "near")
+    near = found.join(F.broadcast(near) if near.count() <= broadcast_rows else near, ["len", "wfp"]).join(items.select("item_id", "len", "fp", "hs"), ["len", "fp"])
     m = _common(F.col("hs"), F.col("ws"))
     scored = near.withColumn("m", m).withColumn("similarity", F.col("m") / (F.size("hs") + F.size("ws") - F.col("m"))).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("first_word", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("first_word"))).alias("x")

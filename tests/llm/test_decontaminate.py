@@ -61,6 +61,25 @@ def test_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, _ in docs if k not in bad), key=str)
 
 
+def test_reordered_items(spark):
+    rng = random.Random(6)
+    items, docs = [], []
+    for i in range(12):
+        v = ["i%d_%d" % (i, j) for j in range(rng.randint(45, 60))]
+        cut = rng.randint(12, len(v) - 12)
+        items.append((i, " ".join(v)))
+        around = [["x%d_%d_%d" % (i, side, j) for j in range(rng.choice((0, 3, 70)))] for side in (0, 1)]
+        docs.append((i, " ".join(around[0] + v[cut:] + v[:cut] + around[1])))
+    v = items[0][1].split()
+    docs.append((90, " ".join(["y"] * 80 + v[30:] + v[15:30] + v[:15])))
+    want = brute(docs, items)
+    assert len(want) >= 10
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for rows in (500_000, 0):
+        got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(d, b, broadcast_rows=rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = make(5)
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
