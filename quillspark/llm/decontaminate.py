@@ -2,7 +2,7 @@
 
 1. Windows. A window as long as an item that is similar to it by ``similarity`` has at least one of
    any of the item's shingles that together weigh more than ``1 - similarity`` of it. Such anchors, the
-   rarest in the benchmark, are looked up among the documents' shingles; each hit sets a window at
+   rarest in the benchmark's different texts, are looked up among the documents' shingles; each hit sets a window at
    every start from which an item-sized window covers it. No similar window is lost, in whatever
    order it has the item's parts.
 2. Fingerprints. Each window's SimHash is looked up among those of the items of its length in a
@@ -77,16 +77,18 @@ def contaminated(
     columns_of(benchmark, [item_col, item_text_col])
     lower = words(F.lower(benchmark[item_text_col]))
     items = benchmark.where(benchmark[item_col].isNotNull()).select(benchmark[item_col].alias("item_id"), lower.alias("w")).where("size(w) > 0")
-    items = items.select("item_id", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(width)).alias("k"))
-    items = items.select("item_id", "len", "k", _any_width(F.col("w"), F.lit(0), F.col("len"), F.col("k"), width).alias("hs"))
+    items = items.groupBy("w").agg(F.collect_set("item_id").alias("ids")).withColumn("item", F.monotonically_increasing_id())
+    items = items.select("item", "ids", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(width)).alias("k"))
+    items = items.select("item", "ids", "len", "k", _any_width(F.col("w"), F.lit(0), F.col("len"), F.col("k"), width).alias("hs"))
     items = materialize(items.select("*", let(F.col("hs"), _simhash).alias("fp")), "items")
 
-    shingles = items.select("item_id", "len", "k", F.size("hs").alias("weight"), F.explode("hs").alias("h"))
-    counts = shingles.groupBy("item_id", "len", "k", "weight", "h").agg(F.count("*").alias("c"))
+    shingles = items.select("item", "len", "k", F.size("hs").alias("weight"), F.explode("hs").alias("h"))
+    counts = shingles.groupBy("item", "len", "k", "weight", "h").agg(F.count("*").alias("c"))
     common = counts.groupBy("h").agg(F.count("*").alias("in_items"))
-    rarest = Window.partitionBy("item_id", "len").orderBy("in_items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    rarest = Window.partitionBy("item").orderBy("in_items", "h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("c").over(rarest), F.lit(0))
-    anchors = counts.join(common, "h").withColumn("before", before).where(F.col("before") <= F.col("weight") * (1 - similarity))
+    least = F.ceil(F.col("weight") * similarity - 1e-9)  # shingles that a similar window shares at least
+    anchors = counts.join(common, "h").withColumn("before", before).where(F.col("before") <= F.col("weight") - least)
     anchors = materialize(anchors.select("h", "k", "len").distinct(), "anchors")
     small = anchors.count() <= broadcast_rows
     widths = [r["k"] for r in anchors.select("k").distinct().collect()] or [width]
@@ -119,10 +121,11 @@ def contaminated(
     pairs = probes.join(index, ["len", "no", "bits"])
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))
     near = materialize(pairs.withColumn("hamming", apart).where(F.col("hamming") <= radius).select("len", "wfp", "fp", "hamming").distinct(), "near")
-    near = found.join(F.broadcast(near) if near.count() <= broadcast_rows else near, ["len", "wfp"]).join(items.select("item_id", "len", "fp", "hs"), ["len", "fp"])
+    near = found.join(F.broadcast(near) if near.count() <= broadcast_rows else near, ["len", "wfp"]).join(items.select("ids", "len", "fp", "hs"), ["len", "fp"])
     m = _common(F.col("hs"), F.col("ws"))
     scored = near.withColumn("m", m).withColumn("similarity", F.col("m") / (F.size("hs") + F.size("ws") - F.col("m"))).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("first_word", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("first_word"))).alias("x")
+    scored = scored.withColumn("item_id", F.explode("ids"))
     return scored.groupBy("doc_id", "row_key", "item_id").agg(best).select("doc_id", "item_id", "x.first_word", "x.n_words", "x.hamming", "x.similarity", "row_key")
 
 

@@ -80,6 +80,19 @@ def test_reordered_items(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_repeated_items_and_exact_threshold(spark):
+    v = ["r%d" % j for j in range(20)]
+    ten = ["e%d" % j for j in range(14)]
+    items = [(1, " ".join(v))] * 10 + [(2, "p q r s t u v"), (2, "a b c d e f g"), (3, " ".join(ten))]
+    docs = [(100 + j, " ".join(v[:j] + ["new"] + v[j + 1 :])) for j in (0, 19)]
+    docs += [(200, "p q r s t u v"), (201, "a b c d e f g"), (202, " ".join(ten[:12])), (203, " ".join(ten[2:])), (204, " ".join(ten[1:13]))]
+    want = brute(docs, items)
+    assert {d for d, _ in want} == {d for d, _ in docs}
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(d, b).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = make(5)
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
