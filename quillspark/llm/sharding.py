@@ -2,7 +2,9 @@
 
 Documents that share a text are linked. Links are kept as cells (text, shard) with a count, so a group
 of any size costs a row per shard. In each round every cell asks to move to the shard that holds
-most of its text and has room for a cell of it; moves are let in, small cells first and then in hash order, up to that shard's quota. Then documents
+most of its text. Moves are let in, small cells first, as far as a shard's rows that leave and its room
+under its quota allow, so full shards exchange cells. Rounds go on until nothing moves. Texts that are
+still cut are put whole where there is room. Then documents
 without links fill the shards to their exact row counts.
 """
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.ranks import size_class, spread_rank
+from quillspark.llm.ranks import spread_rank
 from quillspark.llm.text import columns_of
 from quillspark.scratch import discard, materialize
 
@@ -28,35 +30,93 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
-    """g, origin, shard, n after label propagation over ``cells`` (same columns), materialised."""
-    shards = len(targets)
+def _admit(asked: dict[tuple[int, int, int], int], room: list[int]) -> dict[tuple[int, int, int], int]:
+    """How many cells (from, to, n) move: as asked, less what would fill a shard beyond its room, with what leaves it counted as room."""
+    moves = dict(asked)
+    into: dict[int, list[tuple[int, int, int]]] = {}
+    net = [0] * len(room)
+    for (source, best, n), count in moves.items():
+        into.setdefault(best, []).append((source, best, n))
+        net[best] += n * count
+        net[source] -= n * count
+    again = True
+    while again:
+        again = False
+        for best, found in into.items():
+            if net[best] <= room[best]:
+                continue
+            for key in sorted(found, key=lambda k: (-k[2], net[k[0]] - room[k[0]])):
+                source, _, n = key
+                cut = min(moves[key], max(0, -(-(net[best] - room[best]) // n)))
+                if cut:
+                    moves[key] -= cut
+                    net[best] -= n * cut
+                    net[source] += n * cut
+                    again = True
+    return moves
+
+
+def propagate(cells: DataFrame, targets: list[int], rounds: int | None = None) -> DataFrame:
+    """g, origin, shard, n after label propagation over ``cells`` (same columns), materialised.
+
+    It ends when two rounds in turn move nothing, or after ``rounds``. Each move gathers a group further (the
+    sum of squares of its counts grows), so it ends.
+    """
+    spark, shards = cells.sparkSession, len(targets)
     now = materialize(cells, "cells")
-    for _ in range(rounds):
-        room = [max(0, t - n) for t, n in zip(targets, _loads(now, shards), strict=True)]
+    idle = turn = 0
+    while idle < 2 and (rounds is None or turn < rounds):
+        room = [t - n for t, n in zip(targets, _loads(now, shards), strict=True)]
         held = now.groupBy("g", "shard").agg(F.sum("n").alias("n"))
         smallest = held.groupBy("g").agg(F.min("n").alias("least"))
-        fits = _pick(room, F.col("shard")) >= F.col("least")
-        rank = F.struct(fits.alias("fits"), F.col("n"), (-F.col("shard")).alias("s"))
-        wanted = held.join(smallest, "g").groupBy("g").agg(F.max(rank).alias("top")).where("top.fits")
-        wanted = wanted.select("g", (-F.col("top.s")).alias("best"), F.col("top.n").alias("there"))
+        # Rounds that look for room take turns with rounds that only exchange; ties fall anew in each.
+        fits = (_pick([max(0, r) for r in room], F.col("shard")) >= F.col("least")) if turn % 2 == 0 else F.lit(True)
+        rank = F.struct(fits.alias("fits"), F.col("n"), F.xxhash64("g", "shard", F.lit(turn)).alias("tie"), "shard")
+        wanted = held.join(smallest, "g").groupBy("g").agg(F.max(rank).alias("top")).select("g", F.col("top.shard").alias("best"), F.col("top.n").alias("there"))
         asked = now.join(wanted, "g").join(held.withColumnRenamed("n", "here"), ["g", "shard"]).where("shard <> best AND here <= there")
-        asked = asked.select("g", "origin", "best", "n", (size_class(F.col("n")) * BUCKETS + F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS))).alias("b"))
-        sums = asked.groupBy("best", "b").agg(F.sum("n").alias("n"))
-        so_far = F.sum("n").over(Window.partitionBy("best").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-        open_ = sums.withColumn("so_far", so_far).where(F.col("so_far") <= _pick(room, F.col("best"))).select("best", "b")
-        moves = asked.join(open_, ["best", "b"]).select("g", "origin", "best")
-        then, now = now, materialize(
-            now.join(moves, ["g", "origin"], "left").select("g", "origin", F.coalesce("best", "shard").alias("shard"), "n", F.col("best").isNotNull().alias("moved")), "cells"
-        )
-        discard(then)
-        if not now.where("moved").limit(1).count():
-            break
+        asked = materialize(asked.select("g", "origin", "shard", "best", "n"), "asked")
+        sums = {(r["shard"], r["best"], r["n"]): r["c"] for r in asked.groupBy("shard", "best", "n").agg(F.count("*").alias("c")).collect()}
+        let_in = [(*k, c) for k, c in _admit(sums, room).items() if c]
+        turn, idle = turn + 1, 0 if let_in else idle + 1
+        if let_in:
+            most = F.broadcast(spark.createDataFrame(let_in, "shard int, best int, n bigint, most bigint"))
+            ranked = spread_rank(asked, ["shard", "best", "n"], F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS)), ["g", "origin"], "at")
+            moves = ranked.join(most, ["shard", "best", "n"]).where("at < most").select("g", "origin", "best")
+            then, now = now, materialize(now.join(moves, ["g", "origin"], "left").select("g", "origin", F.coalesce("best", "shard").alias("shard"), "n"), "cells")
+            discard(then)
+        discard(asked)
     return now
 
 
+def gather(cells: DataFrame, targets: list[int]) -> DataFrame:
+    """``cells`` with each text that is still cut, and no longer than a shard, put whole into a shard with room for it.
+
+    Longest first. Texts that then fit nowhere get no shard here: their documents are dealt like those without links.
+    """
+    sizes = cells.groupBy("g").agg(F.sum("n").alias("all"), F.count_distinct("shard").alias("parts"))
+    cut = materialize(sizes.where((F.col("parts") > 1) & (F.col("all") <= min(targets))).select("g", "all"), "cut")
+    counts = {r["all"]: r["c"] for r in cut.groupBy("all").agg(F.count("*").alias("c")).collect()}
+    if not counts:
+        return cells
+    rest = cells.join(cut.select("g"), "g", "left_anti")
+    room = [max(0, t - n) for t, n in zip(targets, _loads(rest, len(targets)), strict=True)]
+    quotas = []
+    for size in sorted(counts, reverse=True):
+        low = 0
+        for s in sorted(range(len(room)), key=lambda s: -room[s]):
+            k = min(counts[size] - low, room[s] // size)
+            if k > 0:
+                quotas.append((size, s, low, low + k))
+                low, room[s] = low + k, room[s] - k * size
+    quota = F.broadcast(cells.sparkSession.createDataFrame(quotas, "all bigint, whole int, low bigint, high bigint"))
+    ranked = spread_rank(cut, ["all"], F.pmod("g", F.lit(BUCKETS)), ["g"], "at")
+    placed = ranked.join(quota, "all").where("at >= low AND at < high").select("g", "whole")
+    put = cells.join(placed, "g").select("g", "origin", F.col("whole").alias("shard"), "n")
+    return materialize(rest.select("g", "origin", "shard", "n").unionByName(put), "cells")
+
+
 def shard_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 6, carry: bool = False,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int | None = None, carry: bool = False,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law (``rows``), shard, slot for every row; with ``carry``, its columns, shard and slot.
 
@@ -89,6 +149,7 @@ def shard_documents(
     settled = propagate(
         cells.join(linked, "g").select("g", F.col("start").alias("origin"), F.col("start").alias("shard"), "n"), targets, rounds
     )
+    settled = gather(settled, targets)
     loads = _loads(settled, shards)
     placed = narrow.join(settled.select("g", F.col("origin").alias("start"), "shard"), ["g", "start"], "left")
     if any(n > t for n, t in zip(loads, targets, strict=True)):
