@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.text import columns_of, let
 
 START, SEP, JOIN, END = "<|start|>", "<|sep|>", "<|join|>", "<|end|>"
+CHUNK = 4096
 
 
 def escape(c: Column) -> Column:
@@ -74,8 +75,8 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return sorted_turns.select("conv_id", made.alias("m")).select("conv_id", "m.formatted", "m.loss_spans")
 
 
-def read_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) read back from the column ``formatted``."""
+def read_chats(formatted: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """conv_id, formatted, the columns in ``keep``, and turns (role, text) read back from the column ``formatted``."""
 
     def block(b: Column) -> Column:
         return let(_cut(b, SEP), lambda two: F.transform(
@@ -84,15 +85,31 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         ))
 
     blocks = F.filter(_cut(F.col("formatted"), END), lambda b: b != "")
-    return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, block)).alias("turns"))
+    return formatted.select("conv_id", "formatted", *(keep or []), F.flatten(F.transform(blocks, block)).alias("turns"))
+
+
+def loss_texts(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``loss``: what lies under the loss mask, unescaped, a string per span.
+
+    A formatted string is cut into stretches of ``CHUNK`` code points first, so that a span costs its own length
+    and not a walk from the beginning.
+    """
+    stretches = F.regexp_extract_all("formatted", F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+    def under(pieces: Column, span: Column) -> Column:
+        first = F.floor(span["start"] / CHUNK).cast("int")
+        last = F.floor((span["start"] + span["length"]) / CHUNK).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (span["start"] % CHUNK + 1).cast("int"), span["length"].cast("int")))
+
+    return formatted.select("*", let(stretches, lambda pieces: F.transform("loss_spans", lambda span: under(pieces, span))).alias("loss"))
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """What the contract asks for, computed from the formatted strings alone."""
-    back = read_chats(formatted)
+    """What the contract asks for: turns from the formatted strings alone, loss columns from what the loss mask covers."""
+    back = read_chats(loss_texts(formatted), keep=["loss"])
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    out = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), F.array_join("loss", "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select(
         "conv_id",
         "n_turns",

@@ -39,3 +39,17 @@ def test_long_and_empty(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     assert chat_digest(format_chats(df)).first().n_turns == 3000
     assert chat_digest(format_chats(df.where("turn < 0"))).count() == 0
+
+
+def test_the_loss_mask_makes_the_loss_digest(spark):
+    long = [(9, 0, "user", "q" * 5000), (9, 1, "assistant", "😀\\" * 6000), (9, 2, "user", ""), (9, 3, "assistant", "end"), (9, 4, "assistant", None)]
+    made = format_chats(spark.createDataFrame(TURNS + long, "conv_id bigint, turn bigint, role string, text string"))
+    right = {r.conv_id: r for r in chat_digest(made).collect()}
+    assert right[9].loss_chars == 12_003
+    assert right[9].loss_sha256 == hashlib.sha256(("😀\\" * 6000 + "end").encode()).hexdigest()
+    shifted = made.selectExpr("conv_id", "formatted", "transform(loss_spans, s -> named_struct('start', s.start - 1, 'length', s.length)) AS loss_spans")
+    none = made.selectExpr("conv_id", "formatted", "filter(loss_spans, s -> false) AS loss_spans")
+    for r in chat_digest(shifted).collect():
+        if right[r.conv_id].loss_chars:
+            assert r.loss_sha256 != right[r.conv_id].loss_sha256 and r.turns_sha256 == right[r.conv_id].turns_sha256
+    assert all(r.loss_chars == 0 for r in chat_digest(none).collect())
