@@ -1,10 +1,14 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates that meet the token constraint of every source, those nearest in relative
-entropy to the prior rates are exponential tilts of them: rate = prior * exp(lambda of the source).
-The lambdas solve a convex dual, here by Newton steps: each step is one aggregation over
-(source, prior) sums of sizes, which are all that the dual needs of the documents. Rates stop at
-``max_copies``. Rates are then rounded to whole copies so that every source's error stays small.
+Every source has a token constraint: the sum of rate times size over its documents is its target. Of all rates
+from 0 to ``max_copies`` that meet it, those nearest to the prior rates, by relative entropy summed over the
+documents, are exponential tilts, rate = min(max_copies, prior * exp(lambda * size / scale)) with a lambda for
+each source: size is the constraint's coefficient, so a source that must give more words leans to long documents and
+one that must give fewer to short ones. The lambdas solve the convex dual. Newton's steps need its gradient and
+its slope, a sum each over the documents; they are aggregations over (source, prior, size) counts, in
+decimals, so that no order of summing changes a bit. A step that leaves the bracket that is known to hold
+the solution is replaced by its middle. Rates are then rounded to whole copies so that every source's error
+stays small.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from quillspark.llm.ranks import size_class, sorted_rank, spread_rank
 from quillspark.llm.text import columns_of, word_count
 from quillspark.scratch import discard, materialize
 
-BUCKETS = 256
+SUM = "decimal(38,9)"
 
 
 def source_targets(sizes: DataFrame, weights: list[float], max_copies: int) -> DataFrame:
@@ -42,38 +46,54 @@ def source_targets(sizes: DataFrame, weights: list[float], max_copies: int) -> D
     return ranked.select("source", "source_size", F.least(F.col("w") * F.lit(level), full.cast("double")).alias("target"))
 
 
-def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, tolerance: float = 1e-9, steps: int = 60) -> DataFrame:
-    """source (as key), lam: the dual's solution for groups (key, prior, mass) and targets (key, target).
+def _exact_sum(c: Column) -> Column:
+    """A sum that does not hang on the order of its rows."""
+    return F.sum(c.cast(SUM)).cast("double")
 
-    Starts where the sums would meet the targets if no rate stopped at ``max_copies``; where all rates have
-    stopped and the slope is gone, a step goes down by the ratio of target and sum.
+
+def newton_tilts(groups: DataFrame, targets: DataFrame, max_copies: int, tolerance: float = 1e-9, steps: int = 100) -> DataFrame:
+    """key, scale, lam: the dual's solution for groups (key, prior, size, n; prior and size over 0) and targets (key, target).
+
+    A source whose target is zero, or that has no such group, has a null lam.
     """
-    sums = groups.groupBy("key").agg(F.sum(F.col("prior") * F.col("mass")).alias("f"))
-    begin = F.when((F.col("f") > 0) & (F.col("target") > 0), F.ln(F.col("target") / F.col("f"))).otherwise(0.0)
-    state = materialize(targets.join(sums, "key", "left").select("key", "target", begin.alias("lam")), "tilts")
+    cap, prior, size, n = float(max_copies), F.col("prior"), F.col("size"), F.col("n")
+    whole = groups.groupBy("key").agg(
+        F.sum(F.col("n") * F.col("size")).cast("double").alias("words"),
+        _exact_sum(n * size * size.cast("double")).alias("squares"),
+        _exact_sum(prior * size * n).alias("asked"),
+        F.min("size").cast("double").alias("least"),
+        F.max(F.ln(F.lit(cap) / prior) / size).alias("top"),
+    )
+    low = F.least(F.lit(0.0), F.ln(F.col("target") / F.col("asked")) / F.col("least")) * F.col("scale")
+    start = targets.where("target > 0").join(whole, "key").withColumn("scale", F.col("squares") / F.col("words"))
+    start = start.select("key", "target", "scale", low.alias("lo"), (F.col("top") * F.col("scale")).alias("hi"), (F.col("target") >= cap * F.col("words")).alias("full"))
+    inside = F.greatest(F.col("lo"), F.least(F.col("hi"), F.lit(0.0)))
+    start = start.withColumn("lo", F.least("lo", "hi"))
+    state = materialize(start.withColumn("lam", F.when(F.col("full"), F.col("hi")).otherwise(inside)).drop("full"), "tilts")
     for _ in range(steps):
-        rate = F.col("prior") * F.exp("lam")
+        log_rate = F.ln(prior) + F.col("lam") * size / F.col("scale")
+        free = log_rate < F.ln(F.lit(cap))
+        taken = n * size * F.when(free, F.exp(log_rate)).otherwise(F.lit(cap))
+        slope = F.when(free, n * size * F.exp(log_rate) * size / F.col("scale")).otherwise(F.lit(0.0))
         sums = groups.join(state, "key").groupBy("key").agg(
-            F.first("target").alias("target"),
-            F.first("lam").alias("lam"),
-            F.sum(F.col("mass") * F.least(rate, F.lit(float(max_copies)))).alias("f"),
-            F.sum(F.when(rate < max_copies, F.col("mass") * rate).otherwise(0.0)).alias("h"),
+            *(F.first(c).alias(c) for c in ("target", "scale", "lo", "hi", "lam")), _exact_sum(taken).alias("f"), _exact_sum(slope).alias("h")
         )
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(F.col("target") - F.col("f"), F.col("h"))))
-        off = F.abs(F.col("f") - F.col("target")) > F.col("target") * tolerance
-        back = F.when((F.col("f") > F.col("target")) & (F.col("target") > 0), F.ln(F.col("target") / F.col("f"))).otherwise(0.0)
-        off = off & ((F.col("h") > 0) | (back < 0))
-        lam = F.col("lam") + F.when(off & (F.col("h") > 0), step).when(off, back).otherwise(0.0)
-        moved = materialize(sums.select("key", "target", lam.alias("lam"), off.alias("off")), "tilts")
+        over = F.col("f") > F.col("target")
+        sums = sums.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.greatest("lo", "lam"))).withColumn("hi", F.when(over, F.least("hi", "lam")).otherwise(F.col("hi")))
+        newton = F.col("lam") + F.try_divide(F.col("target") - F.col("f"), F.col("h"))
+        held = F.coalesce((newton > F.col("lo")) & (newton < F.col("hi")), F.lit(False))
+        off = (F.abs(F.col("f") - F.col("target")) > F.col("target") * tolerance) & (F.col("hi") - F.col("lo") > 1e-13 * F.greatest(F.lit(1.0), F.abs("lam")))
+        lam = F.when(~off, F.col("lam")).when(held, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        moved = materialize(sums.select("key", "target", "scale", "lo", "hi", lam.alias("lam"), off.alias("off")), "tilts")
         discard(state)
-        state = moved.select("key", "target", "lam")
+        state = moved.drop("off")
         state._quillspark_path = moved._quillspark_path
         if not moved.where("off").limit(1).count():
             break
-    return state.select("key", "lam")
+    return state.select("key", "scale", "lam")
 
 
-def _copies(sized: DataFrame, max_copies: int) -> DataFrame:
+def _copies(sized: DataFrame, rows: int) -> DataFrame:
     """rid, copies. ``sized``: rid, doc_id, key, size, h, rate.
 
     The whole part of a rate is taken as it is. Of the fractions, each class of like sizes in a source
@@ -85,7 +105,7 @@ def _copies(sized: DataFrame, max_copies: int) -> DataFrame:
     d = sized.select("rid", "doc_id", "key", "size", "h", whole.alias("whole"), F.when(F.col("size") > 0, frac).otherwise(0.0).alias("frac"))
     d = d.withColumn("cls", size_class(F.col("size")) * 16 + F.floor(F.col("frac") * 15.999).cast("int"))
     classes = d.where("frac > 0").groupBy("key", "cls").agg(
-        F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.col("frac") * F.col("size")).alias("want")
+        F.count("*").alias("n"), F.avg("size").alias("mean"), _exact_sum(F.col("frac") * F.col("size")).alias("want")
     )
     row = F.struct(F.col("mean"), F.col("cls"), F.col("n"), F.col("want"))
     lists = classes.groupBy("key").agg(F.sort_array(F.collect_list(row), asc=False).alias("cs"))
@@ -97,7 +117,7 @@ def _copies(sized: DataFrame, max_copies: int) -> DataFrame:
         return F.struct((goal - k * c["mean"]).alias("err"), F.concat(a["out"], F.array(F.struct(c["cls"].alias("cls"), k.alias("k")))).alias("out"))
 
     quotas = lists.select("key", F.explode(F.aggregate("cs", start, step, lambda a: a["out"])).alias("q")).select("key", "q.cls", "q.k")
-    ranked = spread_rank(d.where("frac > 0"), ["key", "cls"], F.pmod(F.col("h"), F.lit(BUCKETS)), ["h", "doc_id", "size"], "rank")
+    ranked = spread_rank(d.where("frac > 0"), ["key", "cls"], F.col("h"), ["h", "doc_id", "size"], "rank", rows)
     more = ranked.join(quotas, ["key", "cls"]).where("rank < k").select("rid", F.lit(1).alias("extra"))
     return d.join(more, "rid", "left").select("rid", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"))
 
@@ -111,7 +131,7 @@ def mix_sources(
     Size is the number of words; a null text has none and is taken neither more nor less. A null source is a
     source of its own, the last. Null ids take part like others; repeated rows are rows of their own,
     and which of them gets a copy makes no difference to the result. ``prior_col`` (default 1
-    everywhere; null or negative: 0) tilts the rates inside a source. An empty table gives an empty table.
+    everywhere; null or negative: 0) is the rate that a document would have without constraints. An empty table gives an empty table.
 
     A source's taken words differ from its target by rounding only. Choices hang on hashes of id and text, so
     reruns agree. One source may hold a third of the rows: sums are pre-aggregated, ranks are spread over buckets.
@@ -134,12 +154,17 @@ def mix_sources(
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("key")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights or [1.0, 2.0, 3.0], max_copies)
     targets = materialize(targets.select(key, "source_size", "target"), "targets")
-    groups = materialize(sized.where("size > 0").groupBy(key, "prior").agg(F.sum("size").cast("double").alias("mass")), "masses")
+    groups = materialize(sized.where("size > 0 AND prior > 0").groupBy(key, "prior", "size").agg(F.count("*").alias("n")), "size-counts")
     lams = newton_tilts(groups, targets, max_copies)
+    discard(groups)
     tilts = materialize(targets.join(lams, "key", "left"), "target-tilts")
     rated = sized.select("rid", "doc_id", key, "size", "prior", "h").join(tilts, "key")
-    rate = F.when(F.col("target") > 0, F.least(F.col("prior") * F.exp("lam"), F.lit(float(max_copies)))).otherwise(0.0)
-    copies = _copies(rated.select("rid", "doc_id", "key", "size", "h", rate.alias("rate")), max_copies)
+    cap = F.lit(float(max_copies))
+    tilted = F.when(F.col("prior") > 0, F.least(F.ln("prior") + F.col("lam") * F.col("size") / F.col("scale"), F.ln(cap)))
+    rate = F.when((F.col("target") > 0) & (F.col("size") > 0), F.least(F.exp(tilted), cap)).otherwise(0.0)
+    # A source without words asks for nothing: its documents stay as their priors say.
+    rate = F.when(F.col("size") == 0, F.least(F.col("prior"), cap)).otherwise(F.coalesce(rate, F.lit(0.0)))
+    copies = _copies(rated.select("rid", "doc_id", "key", "size", "h", rate.alias("rate")), sized.count())
     if carry:
         return sized.join(copies, "rid").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("copies").alias("_copies"))
     return sized.select("rid", "doc_id", key, "size").join(targets, "key").join(copies, "rid").select(
@@ -148,6 +173,10 @@ def mix_sources(
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Columns, nulls, ties and repeated rows are as in :func:`mix_sources`; a document without words is taken once (or as often
+    as its prior says). An empty table gives an empty table; columns of any name are kept as they are.
+    """
     mixed = mix_sources(docs, carry=True, **options)
     return mixed.select(*(F.col(c) for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

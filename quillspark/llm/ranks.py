@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from quillspark.scratch import materialize
 
+ROWS_PER_BUCKET = 4096
+
 
 def size_class(size: Column) -> Column:
     """An int that grows with a long: sixteen classes to an octave; numbers under 32 have their own."""
@@ -19,11 +21,15 @@ def size_class(size: Column) -> Column:
     return (octave * 1000 + F.call_function("shiftright", size, octave)).cast("int")
 
 
-def spread_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``df`` with a long column ``name``: 0, 1, 2, ... within ``keys`` (no nulls there), by bucket and then ``order``."""
+def spread_rank(df: DataFrame, keys: list[str], spread: Column, order: list[str], name: str, rows: int) -> DataFrame:
+    """``df`` with a long column ``name``: 0, 1, 2, ... within ``keys`` (no nulls there), by bucket and then ``order``.
+
+    ``rows`` bounds the rows of ``df``; it gives the number of buckets, ``ROWS_PER_BUCKET`` rows to each, 16 at least. ``spread`` is a hash.
+    """
     on = [*keys, "_bucket"]
+    buckets = max(16, -(-rows // ROWS_PER_BUCKET))
     # Without this, rows that are dealt by ``keys`` already would stay so.
-    b = df.withColumn("_bucket", bucket).repartition(*on)
+    b = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets))).repartition(*on)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = b.groupBy(*on).agg(F.count("*").alias("_n")).select(*on, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*on).orderBy(*order)).cast("long") - 1

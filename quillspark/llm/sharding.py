@@ -18,9 +18,6 @@ from quillspark.llm.ranks import spread_rank
 from quillspark.llm.text import columns_of
 from quillspark.scratch import discard, materialize
 
-BUCKETS = 1024
-
-
 def _pick(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), shard + 1)
 
@@ -64,6 +61,7 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int | None = None) -
     """
     spark, shards = cells.sparkSession, len(targets)
     now = materialize(cells, "cells")
+    cells_in_all = now.count()
     idle = turn = 0
     while idle < 2 and (rounds is None or turn < rounds):
         room = [t - n for t, n in zip(targets, _loads(now, shards), strict=True)]
@@ -80,7 +78,7 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int | None = None) -
         turn, idle = turn + 1, 0 if let_in else idle + 1
         if let_in:
             most = F.broadcast(spark.createDataFrame(let_in, "shard int, best int, n bigint, most bigint"))
-            ranked = spread_rank(asked, ["shard", "best", "n"], F.pmod(F.xxhash64("g", "origin"), F.lit(BUCKETS)), ["g", "origin"], "at")
+            ranked = spread_rank(asked, ["shard", "best", "n"], F.xxhash64("g", "origin"), ["g", "origin"], "at", cells_in_all)
             moves = ranked.join(most, ["shard", "best", "n"]).where("at < most").select("g", "origin", "best")
             then, now = now, materialize(now.join(moves, ["g", "origin"], "left").select("g", "origin", F.coalesce("best", "shard").alias("shard"), "n"), "cells")
             discard(then)
@@ -109,7 +107,7 @@ def gather(cells: DataFrame, targets: list[int]) -> DataFrame:
                 quotas.append((size, s, low, low + k))
                 low, room[s] = low + k, room[s] - k * size
     quota = F.broadcast(cells.sparkSession.createDataFrame(quotas, "all bigint, whole int, low bigint, high bigint"))
-    ranked = spread_rank(cut, ["all"], F.pmod("g", F.lit(BUCKETS)), ["g"], "at")
+    ranked = spread_rank(cut, ["all"], F.xxhash64("g"), ["g"], "at", sum(counts.values()))
     placed = ranked.join(quota, "all").where("at >= low AND at < high").select("g", "whole")
     put = cells.join(placed, "g").select("g", "origin", F.col("whole").alias("shard"), "n")
     return materialize(rest.select("g", "origin", "shard", "n").unionByName(put), "cells")
@@ -153,11 +151,11 @@ def shard_documents(
     loads = _loads(settled, shards)
     placed = narrow.join(settled.select("g", F.col("origin").alias("start"), "shard"), ["g", "start"], "left")
     if any(n > t for n, t in zip(loads, targets, strict=True)):
-        kept = spread_rank(placed.where("shard IS NOT NULL"), ["shard"], F.pmod("g", F.lit(BUCKETS)), ["g", "h", "doc_id"], "at")
+        kept = spread_rank(placed.where("shard IS NOT NULL"), ["shard"], F.xxhash64("g"), ["g", "h", "doc_id"], "at", total)
         kept = kept.withColumn("shard", F.when(F.col("at") < _pick(targets, F.col("shard")), F.col("shard"))).drop("at")
         placed = materialize(placed.where("shard IS NULL").unionByName(kept), "placed")
         loads = [min(n, t) for n, t in zip(loads, targets, strict=True)]
-    free = spread_rank(placed.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), ["all"], F.pmod(F.xxhash64("h"), F.lit(BUCKETS)), ["h", "doc_id"], "at")
+    free = spread_rank(placed.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), ["all"], F.xxhash64("h"), ["h", "doc_id"], "at", total)
     edge, where = 0, F.lit(shards - 1)
     edges = []
     for n, t in zip(loads, targets, strict=True):
@@ -166,7 +164,7 @@ def shard_documents(
     for s in range(shards - 2, -1, -1):
         where = F.when(F.col("at") < edges[s], F.lit(s)).otherwise(where)
     filled = free.withColumn("shard", where.cast("int")).drop("at", "all").unionByName(placed.where("shard IS NOT NULL"))
-    out = spread_rank(filled, ["shard"], F.pmod(F.xxhash64("h", F.lit(1)), F.lit(BUCKETS)), ["h", "doc_id"], "slot")
+    out = spread_rank(filled, ["shard"], F.xxhash64("h", F.lit(1)), ["h", "doc_id"], "slot", total)
     if carry:
         return nodes.drop("doc_id", "size", "crc", "g", "h", "start").join(out.select("rid", "shard", "slot"), "rid").select(
             *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "shard", "slot"

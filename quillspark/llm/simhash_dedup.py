@@ -270,7 +270,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     roots = assign_components(marked, budget=budget, trie_rows=trie_rows, agree=agree)
     firsts = marked.groupBy("fp").agg(F.min("c0").alias("least"), F.count("*").alias("n"))
     tree = materialize(roots.join(firsts, "fp"), "roots")
-    groups = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_docs"))
+    groups = materialize(tree.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_docs")), "components")
     of = tree.select("fp", "root").join(groups, "root").select("fp", "component_id", "n_docs")
     return marked.join(of, "fp").select(
         F.col("c0").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_docs"

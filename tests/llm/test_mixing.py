@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from quillspark.llm.mixing import mix_sources, take_mix
+from quillspark.llm import mixing
+from quillspark.llm.mixing import mix_sources, newton_tilts, take_mix
 
 
 def rows(seed=1, n=400):
@@ -68,3 +70,58 @@ def test_take(spark):
     assert taken.count() == mix_sources(df).agg({"copies": "sum"}).first()[0]
     assert take_mix(df.where("doc_id < -5")).count() == 0
     assert mix_sources(df.where("text IS NULL")).first().taken == 0
+
+
+def slow_tilt(size, prior, target, cap=3.0):
+    """Newton on the dual with numpy, from a bracket."""
+    scale = (size**2).sum() / size.sum()
+    rate = lambda lam: np.minimum(cap, np.exp(np.minimum(np.log(prior) + lam * size / scale, np.log(cap))))
+    lo, hi = -1e4, (np.log(cap / prior) / size).max() * scale
+    if target >= cap * size.sum():
+        return scale, hi
+    lam = min(0.0, hi)
+    for _ in range(300):
+        r = rate(lam)
+        f, h = (size * r).sum(), (size * size / scale * r)[r < cap].sum()
+        lo, hi = (lo, lam) if f > target else (lam, hi)
+        if abs(f - target) <= 1e-12 * target:
+            break
+        new = lam + (target - f) / h if h else lo - 1
+        lam = new if lo < new < hi else (lo + hi) / 2
+    return scale, lam
+
+
+def test_newton_solves_the_dual(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    parts, targets, want = [], [], {}
+    for key, share, priors in [("less", 0.07, [1.0]), ("tiny", 1e-4, [1.0]), ("same", 1.0, [1.0]), ("more", 1.7, [1.0]), ("much", 2.95, [1.0]), ("all", 3.0, [1.0]), ("prior", 0.8, [0.2, 1.0, 5.0]), ("over", 0.5, [6.0])]:
+        size = np.ceil(rng.lognormal(5, 1.4, 600))
+        prior = rng.choice(priors, 600)
+        parts += [(key, float(p), int(z), 1) for p, z in zip(prior, size)]
+        targets.append((key, float(share * size.sum())))
+        want[key] = slow_tilt(size, prior, targets[-1][1])
+    groups = spark.createDataFrame(parts, "key string, prior double, size long, n long").groupBy("key", "prior", "size").agg({"n": "count"}).withColumnRenamed("count(n)", "n")
+    written = []
+    real = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: written.append(name) or real(df, name))
+    got = {r.key: r for r in newton_tilts(groups, spark.createDataFrame([*targets, ("none", 0.0), ("wordless", 5.0)], "key string, target double"), 3).collect()}
+    assert got.keys() == want.keys() and 4 <= len(written) <= 60
+    for key, (scale, lam) in want.items():
+        assert got[key].scale == pytest.approx(scale, rel=1e-9)
+        assert got[key].lam == pytest.approx(lam, rel=1e-6, abs=1e-6)
+
+
+def test_tilts_lean_by_size(spark):
+    rng = random.Random(4)
+    data = [(i, "w " * rng.choice([50, 400]), "a" if i < 300 else "b") for i in range(1200)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = mix_sources(df, weights=[2.0, 1.0]).toPandas().groupby(["source_size", "size"]).copies.mean()
+    less, more = (got[s] for s in sorted(got.index.levels[0], reverse=True))
+    assert more[400] > more[50] and less[400] < less[50]
+
+
+def test_empty_and_text_ids(spark):
+    df = spark.createDataFrame([("x", "a b", "s"), ("y", None, None), ("x", "a b", "s")], "doc_id string, text string, source string")
+    got = mix_sources(df).collect()
+    assert sorted(r.doc_id for r in got) == ["x", "x", "y"] and sum(r.taken for r in got) == 4
+    assert mix_sources(df.where("doc_id = 'z'")).count() == 0
