@@ -32,7 +32,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
     found = read_warc(spark, path, payloads=False).where("kind = 'record'")
-    return found.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    number = lambda c: F.col(c).cast("bigint")
+    return found.select(number("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

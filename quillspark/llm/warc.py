@@ -3,20 +3,26 @@
 Writing: each record is built where its row is, and Spark's text sink stores the bytes, so any file
 system that Spark writes to will do and a lost executor's files are committed once. Records are
 gzip members; the sink's line separator is an empty member, which is a valid one. Without
-compression a record's closing CR LF CR LF is the separator.
+compression a record's closing CR LF CR LF is the separator. An archive is as many records as fit
+``file_bytes``, or one larger record.
 
 Reading: an archive is walked record by record. Where a check fails (gzip CRC, version line,
 headers, length, closing, block or payload digest) the reader looks for the next gzip member or
-version line that passes, goes on from there, and logs the bytes between as a gap.
+version line that passes, goes on from there, and logs the bytes between as a gap. A member's
+unpacked bytes are walked in the same way, so it may hold any number of records, some of them
+damaged. Of a member that is broken or cut off, what could be unpacked is walked too: whole records are
+kept if a digest proves them, or if the member was merely cut off.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +35,17 @@ VERSION = b"WARC/1."
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 CLOSING = b"\r\n\r\n"
 CHUNK = 1 << 16
-MAX_HEAD = 1 << 20
 ROW_ID = "WARC-Source-Row"
 
 FOUND = (
-    "kind string, path string, start bigint, stop bigint, reason string, record_type string, row_id bigint, url string, "
-    "payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+    "kind string, path string, start bigint, stop bigint, inner_start bigint, reason string, record_type string, row_id string, url string, "
+    "payload_bytes bigint, payload_digest string, refers_to string, payload binary"
 )
 
 
-def build_record(row_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One record without its closing."""
+def build_record(row_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool, date: str) -> bytes:
+    """One record without its closing. Ids are written as text, quoted as in a URL."""
+    row_id, refers_to = (None if x is None else quote(str(x), safe="") for x in (row_id, refers_to))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{row_id}>", f"WARC-Date: {date}"]
@@ -56,20 +62,59 @@ def build_record(row_id: int | None, url: str | None, payload: bytes, digest: st
     return "\r\n".join(head).encode() + CLOSING + block
 
 
-def _parse(buf: bytes, at: int) -> tuple[int, dict] | str:
-    """The record at ``at`` and where it ends, or what is wrong with it."""
-    head_end = buf.find(CLOSING, at, at + MAX_HEAD)
+class _Ahead:
+    """Where a mark comes next in a buffer; asked for growing places, it looks at every byte once."""
+
+    def __init__(self, buf: bytes, mark: bytes) -> None:
+        self.buf, self.mark, self.found, self.since = buf, mark, -1, 0
+
+    def next(self, at: int) -> int:
+        """The first place of the mark from ``at`` on, or -1."""
+        if not self.since <= at <= self.found and not (self.found == len(self.buf) and at >= self.since):
+            self.found = self.buf.find(self.mark, at)
+            self.found = len(self.buf) if self.found < 0 else self.found
+        self.since = at
+        return -1 if self.found == len(self.buf) else self.found
+
+
+def _digests(block: bytes, said: str) -> tuple[bool, bool]:
+    """Whether a labelled digest (``sha256:...``, hex or base32) can be checked, and whether it is right."""
+    name, _, value = said.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return False, True
+    own = hashlib.new(name, block).digest()
+    plain = base64.b32encode(own).decode()
+    return True, value.lower() == own.hex() or value.upper().rstrip("=") == plain.rstrip("=")
+
+
+def _headers(raw: bytes) -> dict[str, str] | None:
+    """Named fields; a line that begins with white space goes on with the field before. None if a line is neither."""
+    head: dict[str, str] = {}
+    last = None
+    for line in raw.split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and last is not None:
+            head[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon:
+            return None
+        last = name.strip().lower().decode("latin-1")
+        head[last] = value.strip().decode("utf-8", "replace")
+    return head
+
+
+def _parse(buf: bytes, at: int, closings: _Ahead) -> tuple[int, dict, bool] | str:
+    """Where the record at ``at`` ends, its fields, and whether a digest proves it; or what is wrong with it."""
+    head_end = closings.next(at)
     if head_end < 0:
         return "headers do not end"
-    version, *lines = buf[at:head_end].split(b"\r\n")
+    version, _, lines = buf[at:head_end].partition(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.\d+", version):
         return "no version line"
-    head = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return "broken header line"
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    head = _headers(lines)
+    if head is None:
+        return "broken header line"
     size = head.get("content-length", "")
     if not size.isdigit():
         return "no content length"
@@ -77,99 +122,136 @@ def _parse(buf: bytes, at: int) -> tuple[int, dict] | str:
     if buf[stop : stop + 4] != CLOSING:
         return "record does not close where its length says"
     block = buf[start:stop]
-    said = head.get("warc-block-digest", "")
-    if said.startswith("sha256:") and said[7:] != hashlib.sha256(block).hexdigest():
+    proved, right = _digests(block, head.get("warc-block-digest", ""))
+    if not right:
         return "block digest differs"
     _, split, body = block.partition(CLOSING)
     if not (split and block.startswith(b"HTTP/")):
         body = block
-    digest = head.get("warc-payload-digest", "")
-    digest = digest[7:] if digest.startswith("sha256:") else None
+    said = head.get("warc-payload-digest", "")
     kind = head.get("warc-type")
     if kind == "revisit":
         length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block)
         n = int(length[1]) if length else None
+        digest = said[7:] if said.startswith("sha256:") else None
         body = None
     else:
-        own = hashlib.sha256(body).hexdigest()
-        if digest not in (None, own):
+        checked, right = _digests(body, said)
+        if not right:
             return "payload digest differs"
-        n, digest = len(body), own
-    number = lambda x: int(x) if x and re.fullmatch(r"-?\d+", x) else None
-    refers = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-refers-to", ""))
+        n, digest, proved = len(body), hashlib.sha256(body).hexdigest(), proved or checked
+    refers = re.fullmatch(r"<urn:page:(.*)>", head.get("warc-refers-to", ""))
+    row_id = head.get(ROW_ID.lower())
     return stop + 4, {
-        "record_type": kind, "row_id": number(head.get(ROW_ID.lower())), "url": head.get("warc-target-uri"),
-        "payload_bytes": n, "payload_digest": digest, "refers_to": number(refers[1]) if refers else None, "payload": body,
-    }
+        "record_type": kind, "row_id": None if row_id is None else unquote(row_id), "url": head.get("warc-target-uri"),
+        "payload_bytes": n, "payload_digest": digest, "refers_to": unquote(refers[1]) if refers else None, "payload": body,
+    }, proved
 
 
-def _member(buf: memoryview, at: int) -> tuple[int, bytes] | str:
-    """The gzip member at ``at``, unpacked, and where it ends."""
+def _member(buf: memoryview, at: int) -> tuple[int, bytes, str | None]:
+    """Where the gzip member at ``at`` ends, what could be unpacked of it, and what is wrong with it."""
     unpack, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             if pos >= len(buf):
-                return "gzip member is cut off"
+                return pos, b"".join(out), "gzip member is cut off"
             out.append(unpack.decompress(buf[pos : pos + CHUNK]))
             pos = min(pos + CHUNK, len(buf))
     except zlib.error:
-        return "gzip member is broken"
-    return pos - len(unpack.unused_data), b"".join(out)
+        return pos, b"".join(out), "gzip member is broken"
+    return pos - len(unpack.unused_data), b"".join(out), None
 
 
-def salvage(buf: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
-    """(record or gap, first byte, end, reason of a gap, fields of a record) over a whole archive, in order.
+def _walk(text: bytes, prove: bool) -> list[tuple]:
+    """(record or gap, first byte, end, reason, fields) over plain bytes; with ``prove`` only records that a digest proves."""
+    out: list[tuple] = []
+    closings, versions = _Ahead(text, CLOSING), _Ahead(text, VERSION)
+    pos, lost, reason = 0, None, None
+    while pos < len(text):
+        got = _parse(text, pos, closings) if text.startswith(VERSION, pos) else "no version line"
+        if not isinstance(got, str) and prove and not got[2]:
+            got = "no digest proves a record of a broken member"
+        if isinstance(got, str):
+            if lost is None:
+                lost, reason = pos, got
+            pos = versions.next(pos + 1)
+            pos = len(text) if pos < 0 else pos
+            continue
+        if lost is not None:
+            out.append(("gap", lost, pos, reason, {}))
+            lost = None
+        out.append(("record", pos, got[0], None, got[1]))
+        pos = got[0]
+    if lost is not None:
+        out.append(("gap", lost, len(text), reason, {}))
+    return out
+
 
-    Records and gaps cover the archive without overlap, but for empty members.
+def salvage(buf: bytes) -> Iterator[tuple[str, int, int, int | None, str | None, dict]]:
+    """(record or gap, first byte, end, first byte inside a member, reason of a gap, fields of a record) over a whole archive, in order.
+
+    Records and gaps cover the archive, but for empty members. What lies in one member shares its first byte and end;
+    all else doesn't overlap.
     """
     view, pos, lost, reason = memoryview(buf), 0, None, None
+    unpacked = False
+    closings, versions, members = _Ahead(buf, CLOSING), _Ahead(buf, VERSION), _Ahead(buf, MAGIC)
     while pos < len(buf):
-        fields: dict | None = None
+        inner: list[tuple] = []
+        end, wrong = pos, None
         if buf.startswith(MAGIC, pos):
-            got = _member(view, pos)
-            if not isinstance(got, str):
-                end, text = got
-                if text:
-                    inner = _parse(text, 0)
-                    got = inner if isinstance(inner, str) else "member holds more than a record" if inner[0] != len(text) else got
-                    fields = None if isinstance(got, str) else inner[1]
+            end, text, wrong = _member(view, pos)
+            inner = _walk(text, wrong == "gzip member is broken")
+            if wrong is not None:
+                records = [x for x in inner if x[0] == "record"]
+                if records:
+                    # What was read is told; the rest is a gap that ends where the next member or record begins.
+                    if lost is not None:
+                        yield "gap", lost, pos, None, reason, {}
+                        lost = None
+                    for kind, a, _, _, fields in records:
+                        yield kind, pos, end, a, None, fields
+                    unpacked = True  # so version lines that the packed bytes may show are of records already told
         elif buf.startswith(VERSION, pos):
-            got = _parse(buf, pos)
-            if not isinstance(got, str):
-                end, fields = got
+            got = _parse(buf, pos, closings)
+            if isinstance(got, str):
+                wrong = got
+            else:
+                end, inner = got[0], [("record", None, None, None, got[1])]
         else:
-            got = "no member or version line"
-        if isinstance(got, str):
+            wrong = "no member or version line"
+        if wrong is not None:
             if lost is None:
-                lost, reason = pos, got
-            ahead = [x for x in (buf.find(MAGIC, pos + 1), buf.find(VERSION, pos + 1)) if x >= 0]
-            pos = min(ahead, default=len(buf))
+                lost, reason = pos, wrong
+            ahead = [members.next(pos + 1), -1 if unpacked else versions.next(pos + 1)]
+            pos = min((x for x in ahead if x >= 0), default=len(buf))
             continue
+        unpacked = False
         if lost is not None:
-            yield "gap", lost, pos, reason, {}
+            yield "gap", lost, pos, None, reason, {}
             lost = None
-        if fields is not None:
-            yield "record", pos, end, None, fields
+        for kind, a, _, why, fields in inner:
+            yield kind, pos, end, a, why, fields
         pos = end
     if lost is not None:
-        yield "gap", lost, len(buf), reason, {}
+        yield "gap", lost, len(buf), None, reason, {}
 
 
 def write_warc(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_revisit_bytes: int = 100, compress: bool = True, records_per_file: int = 4096, date: str = "1970-01-01T00:00:00Z",
+    min_revisit_bytes: int = 100, compress: bool = True, file_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z",
 ) -> None:
     """A record per row of ``pages`` under ``path``; equal payloads of ``min_revisit_bytes`` or more are stored once.
 
     Of those the smallest id is the response, the others are revisits that refer to it; rows that repeat the
     smallest id are responses too. A null payload is empty; a row without id among equal payloads is a
     revisit unless no row has an id. A null url is left out. Extra columns are ignored; an empty
-    table writes no record. Copies are found by SHA-256, pre-aggregated, so a payload that a third of
-    the pages share costs a row per task.
+    table writes no record. Ids may be of any type that has an order and a text form. Copies are found by
+    SHA-256, pre-aggregated, so a payload that a third of the pages share costs a row per task.
     """
     columns_of(pages, [id_col, url_col, payload_col])
     p = pages.select(
-        pages[id_col].cast("bigint").alias("id"),
+        pages[id_col].alias("id"),
         pages[url_col].cast("string").alias("url"),
         F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
@@ -182,22 +264,31 @@ def write_warc(
     )
     marked = p.join(firsts, p["digest"] == firsts["d"], "left").select("id", "url", "payload", "digest", "first")
 
+    separator = EMPTY_MEMBER if compress else CLOSING
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                revisit = row["first"] is not None and row["id"] != row["first"]
-                record = build_record(row["id"], row["url"], row["payload"], row["digest"], row["first"], revisit, date)
-                out.append(gzip.compress(record + CLOSING, mtime=0) if compress else record)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for row_id, url, payload, digest, first in zip(*batch.columns, strict=True):
+                row_id, first = row_id.as_py(), first.as_py()
+                revisit = first is not None and row_id != first
+                record = build_record(row_id, url.as_py(), payload.as_py(), digest.as_py(), first, revisit, date)
+                record = gzip.compress(record + CLOSING, mtime=0) if compress else record
+                if held and size + len(record) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([(b"" if compress else CLOSING).join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(separator)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([(b"" if compress else CLOSING).join(held)], pa.binary())], names=["value"])
 
-    separator = EMPTY_MEMBER if compress else CLOSING
     (
         marked.mapInArrow(run, "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", separator.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", records_per_file)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
@@ -205,7 +296,10 @@ def write_warc(
 def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """Every record and every quarantined gap (kind ``record`` or ``gap``) of the archives under ``path``.
 
-    A task holds one archive at a time; an archive must be under 2 GB.
+    start and stop are bytes of the archive, inner_start is the first byte inside an unpacked member; row_id and
+    refers_to are text. Fields that a record does not have are null, as are all of a gap's but its reason. An
+    archive without a byte gives no row. A task holds one archive at a time, unpacked member by member; an
+    archive must be under 2 GB, which the writer's are unless one record is larger.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -214,8 +308,8 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows: list[dict] = []
                 held = 0
-                for kind, start, stop, reason, fields in salvage(content.as_py()):
-                    row = {"kind": kind, "path": name.as_py(), "start": start, "stop": stop, "reason": reason, **fields}
+                for kind, start, stop, inner, reason, fields in salvage(content.as_py()):
+                    row = {"kind": kind, "path": name.as_py(), "start": start, "stop": stop, "inner_start": inner, "reason": reason, **fields}
                     held += len(row.get("payload") or b"") if payloads else 0
                     if not payloads:
                         row["payload"] = None
