@@ -106,3 +106,45 @@ def test_empty(spark):
     full_d = spark.createDataFrame([(1, "some item words here now")], "doc_id bigint, text string")
     assert contaminated(d, full_b).count() == 0 and contaminated(full_d, b).count() == 0
     assert drop_contaminated(full_d, b).count() == 1 and contaminated(full_d, full_b).count() == 1
+
+
+def test_short_items_against_brute_force(spark):
+    """Items of 5 to 13 words, where few shingles vote for a bit."""
+    rng = random.Random(8)
+    items = [(i, " ".join("s%d_%d" % (i, rng.randrange(40)) for _ in range(5 + i % 9))) for i in range(270)]
+    docs = []
+    for i, t in items:
+        v = t.split()
+        for copy in range(3):
+            around = [["z%d" % rng.randrange(10**6) for _ in range(rng.choice((0, 4)))] for _ in (0, 1)]
+            cut = rng.choice([v, v[1:], v[:-1], v[2:], v[:-2], v[:-1] + ["new"], ["new"] + v[1:]])
+            docs.append((3 * i + copy, " ".join(around[0] + cut + around[1])))
+    want = brute_by_item(docs, items)
+    assert 200 < len(want) < 800
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(d, b).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def brute_by_item(docs, items):
+    """Items of different numbers share no word here."""
+    out = {}
+    for i, t in items:
+        out |= brute([x for x in docs if x[0] // 3 == i], [(i, t)])
+    return out
+
+
+def test_long_document_and_text_ids(spark):
+    rng = random.Random(9)
+    v = ["p%d" % j for j in range(40)]
+    w = ["l%d" % rng.randrange(5000) for _ in range(30_000)]
+    for at in (0, 4080, 8192, 29_960):
+        w[at : at + 40] = v[:20] + ["x"] + v[21:]
+    d = spark.createDataFrame([("long", " ".join(w)), ("clean", " ".join(w[100:4000])), (None, None)], "doc_id string, text string")
+    b = spark.createDataFrame([("i", " ".join(v)), ("twin", " ".join(v))], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 6)) for r in contaminated(d, b).collect()}
+    assert not got  # five of 36 shingles differ on either side: 31 of 41
+    d2 = d.selectExpr("doc_id", "replace(text, 'x', 'p20') AS text")
+    got = {(r.doc_id, r.item_id): r.first_word for r in contaminated(d2, b).collect()}
+    assert got == {("long", "i"): 0, ("long", "twin"): 0}
+    assert {r.doc_id for r in drop_contaminated(d2, b).collect()} == {"clean", None}
