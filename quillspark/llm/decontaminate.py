@@ -131,12 +131,17 @@ def contaminated(
     ranges = F.transform("ps", lambda p, i: F.struct(F.greatest(p - F.col("len") + F.col("k"), F.get("ps", i - 1) + 1).alias("a"), p.alias("z")))
     asked = materialize(asked.groupBy("row_key").agg(F.collect_list(F.struct("item", "len", "k", "part", ranges.alias("ranges"))).alias("regions")), "windows")
 
+    if asked.count() <= broadcast_rows:  # then texts without a hit don't travel
+        named = named.join(F.broadcast(asked.select("row_key")), "row_key", "left_semi")
     found = named.join(asked, "row_key").select("doc_id", "row_key", words(F.col("t")).alias("w"), "regions")
     found = found.select("doc_id", "row_key", "w", F.size("w").alias("n"), F.explode("regions").alias("x")).select("doc_id", "row_key", "w", "n", "x.*")
     base = F.greatest(F.col("part") * STRETCH - F.col("len") + F.col("k"), F.lit(0))
     stop = F.least(F.col("n"), (F.col("part") + 1) * STRETCH + F.col("len"))
     found = found.withColumn("base", base).withColumn("hs", _any_width(F.col("w"), base, stop - base, F.col("k"), width)).drop("w")
     found = found.select("doc_id", "row_key", "item", "len", "k", "n", "base", "hs", F.explode("ranges").alias("r"))
+    near_r = F.greatest(F.col("r.a"), F.lit(0))
+    slim = F.slice("hs", near_r - F.col("base") + 1, F.col("r.z") + F.col("len") - F.col("k") + 1 - near_r)
+    found = found.select("doc_id", "row_key", "item", "len", "k", "n", near_r.alias("base"), slim.alias("hs"), "r")
     found = found.select("doc_id", "row_key", "item", "len", "k", "n", "base", "hs", F.explode(F.sequence("r.a", "r.z")).alias("at"))
     begin = F.greatest(F.col("at"), F.lit(0))
     n_words = F.least(F.col("at") + F.col("len"), F.col("n")) - begin

@@ -17,7 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of ``text``, as an array; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE + "+"))
 
 
 def word_count(text: Column) -> Column:
