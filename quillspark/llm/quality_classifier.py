@@ -1,72 +1,125 @@
 """Quality classifier by co-training.
 
-Two classifiers see each document from different sides: the content view its tokens (how they end,
-how they repeat), the page view its metadata (length, lines, language, source, character classes). In
-rounds, each adds the unlabelled documents that it is surest of, with its own labels, to the other's
-training set. Both are then calibrated on labelled documents kept apart, and a logistic combination of
-the calibrated log-odds scores every document.
+Two classifiers see each document from different sides. The content view has its words: hashed words, how
+words end, how they repeat; shares only, so nothing of its length. The page view has its metadata: language, source,
+characters, lines, words to a line, characters to a word; sizes only, so no character of its text. In rounds, each scores
+all documents without a label and gives those that it is surest of, with its own labels, to the other's training
+set. Both are then calibrated on labelled documents kept apart, and a logistic combination of the
+calibrated log-odds scores every document.
+
+Views are computed once and written; rounds read them. Only labelled documents are a bounded sample.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.samples import held_out, labelled_ids, texts_of
+from quillspark.llm.samples import held_out, labelled_ids
 from quillspark.llm.text import columns_of
-from quillspark.scratch import materialize
+from quillspark.scratch import discard, materialize
 
-ENDS = 64
+PLAIN_ENDS = 64
+ENDS = PLAIN_ENDS + 128
+WORDS = 32
 HASHED = 16
-CLASSES = [re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]", r"[0-9]", r"[#*$%&]", r"[|<>]", r"[!?]", r"[.,;:]")]
+CONTENT = ENDS + WORDS + 5
+PAGE = 6 + 2 * HASHED
+MEMO = 300_000
+_BUCKETS: dict[str, tuple[int, int, bool]] = {}
+
+
+def _buckets(word: str) -> tuple[int, int, bool]:
+    if len(_BUCKETS) > MEMO:
+        _BUCKETS.clear()
+    end = zlib.crc32(word[-2:].encode())
+    # Ends in letters are many and would drown the others in shared buckets.
+    end = end % PLAIN_ENDS if word[-1].isalnum() else PLAIN_ENDS + end % (ENDS - PLAIN_ENDS)
+    got = _BUCKETS[word] = (end, ENDS + zlib.crc32(word.encode()) % WORDS, word.isupper())
+    return got
 
 
 def content_view(text: str | None) -> np.ndarray:
-    """How tokens end (hashed), and how much they repeat."""
+    """Shares of hashed word ends and words, repetition and upper case; zeros for a text without words."""
     tokens = (text or "").split()
-    out = np.zeros(ENDS + 6)
     if not tokens:
-        return out
+        return np.zeros(CONTENT)
     n = len(tokens)
-    for end, k in Counter([t[-2:] for t in tokens if not t.isalnum()]).items():
-        out[zlib.crc32(end.encode()) % ENDS] += k / n
     seen = Counter(tokens)
-    top = [k for _, k in seen.most_common(5)]
-    out[ENDS] = sum(map(str.__eq__, tokens, tokens[1:])) / n
-    out[ENDS + 1] = len(seen) / n
-    out[ENDS + 2] = top[0] / n
-    out[ENDS + 3] = sum(top) / n
-    out[ENDS + 4] = np.log1p(n) / 10
-    out[ENDS + 5] = sum(map(str.isupper, tokens)) / n
+    known = _BUCKETS
+    found = [known[t] if t in known else _buckets(t) for t in seen]
+    count = np.fromiter(seen.values(), dtype=float, count=len(seen)) / n
+    end, word, upper = zip(*found, strict=True)
+    out = np.bincount(end, weights=count, minlength=CONTENT)
+    out += np.bincount(word, weights=count, minlength=CONTENT)
+    top = np.sort(count)[-5:]
+    at = ENDS + WORDS
+    out[at:] = (sum(map(str.__eq__, tokens, tokens[1:])) / n, len(seen) / n, top[-1], top.sum(), count[list(upper)].sum())
     return out
 
 
 def page_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """Length, lines, character classes, language and source (both hashed)."""
+    """Sizes, and language and source (both hashed)."""
     text = text or ""
     lines = text.split("\n")
-    n = max(len(text), 1)
-    out = np.zeros(len(CLASSES) + 5 + 2 * HASHED)
-    out[: len(CLASSES)] = [len(p.findall(text)) / n for p in CLASSES]
-    at = len(CLASSES)
-    out[at] = np.log1p(len(text)) / 10
-    out[at + 1] = np.log1p(len(lines)) / 10
-    out[at + 2] = np.log1p(max(map(len, lines))) / 10
-    out[at + 3] = len(set(lines)) / len(lines)
-    out[at + 4] = text.count(" ") / n
-    out[at + 5 + zlib.crc32((lang or "").encode()) % HASHED] = 1
-    out[at + 5 + HASHED + zlib.crc32((source or "").encode()) % HASHED] = 1
+    words = max(len(text.split()), 1)
+    out = np.zeros(PAGE)
+    out[:6] = (np.log1p(len(text)), np.log1p(len(lines)), np.log1p(max(map(len, lines))), np.log1p(words), len(text) / words, np.log1p(words / len(lines)))
+    out[6 + zlib.crc32((lang or "").encode()) % HASHED] = 1
+    out[6 + HASHED + zlib.crc32((source or "").encode()) % HASHED] = 1
     return out
 
 
+@dataclass
+class Views:
+    """Documents with both views, written out: rid, id, a, b, and the carried columns as c0, c1, ..."""
+
+    frame: DataFrame
+    names: list[str]
+
+
+def quality_views(docs: DataFrame, carry: list[str] | None = None) -> Views:
+    """Both views of every row of ``docs``, with the columns in ``carry`` (default doc_id).
+
+    Null texts, languages and sources count as empty strings. Null ids, repeated rows and extra columns of any name make no difference;
+    an empty table gives an empty table.
+    """
+    columns_of(docs, ["doc_id", "text", "lang", "source"])
+    names = ["doc_id"] if carry is None else carry
+    asked = docs.select(
+        F.monotonically_increasing_id().alias("rid"), docs["doc_id"].alias("id"), *(docs[c].alias(f"c{i}") for i, c in enumerate(names)),
+        docs["text"].cast("string").alias("_t"), docs["lang"].cast("string").alias("_l"), docs["source"].cast("string").alias("_s"),
+    )
+    kept = len(names) + 2
+    numbers = T.ArrayType(T.FloatType())
+    schema = T.StructType([*asked.schema.fields[:kept], T.StructField("a", numbers), T.StructField("b", numbers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text, lang, source = (batch.column(kept + i).to_pylist() for i in range(3))
+            a = np.concatenate([content_view(t) for t in text]).astype(np.float32)
+            b = np.concatenate([page_view(*x) for x in zip(text, lang, source, strict=True)]).astype(np.float32)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * n), pa.array(x)) for x, n in ((a, CONTENT), (b, PAGE))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *lists], names=schema.names)
+
+    return Views(materialize(asked.mapInArrow(run, schema), "quality-views"), names)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(float)
+
+
 @dataclass
 class Logistic:
     """A logistic regression on standardised features."""
@@ -103,6 +156,7 @@ class QualityModel:
     content_scale: Logistic
     page_scale: Logistic
     join: Logistic
+    given: tuple[int, int] = (0, 0)
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: content view, page view, both."""
@@ -112,99 +166,154 @@ class QualityModel:
         return tuple(1 / (1 + np.exp(-v)) for v in (la, lb, both))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, apart: np.ndarray, ua: np.ndarray, ub: np.ndarray, *, rounds: int = 5, share: float = 0.05, sure: float = 0.9) -> QualityModel:
-    """``a``, ``b``: the two views of labelled rows, ``y`` their labels, ``apart``: rows for calibration; ``ua``, ``ub``: unlabelled rows."""
+#: Takes both models, for each view the rows it was given already, how many rows of each label to find, and for each
+#: view and label the least confidence; returns for each view and label (1, 0) what the other view is surest of: keys and
+#: features of the view that gets them.
+Surest = Callable[[list[Logistic], list[set[int]], dict[int, int], dict[tuple[int, int], float]], dict[tuple[int, int], tuple[list[int], np.ndarray]]]
+
+
+def least_confidence(conf: np.ndarray, right: np.ndarray, sure: float, support: int = 20) -> float:
+    """The least confidence at or above which a share ``sure`` of labelled rows, and ``support`` of them, are right; 2 if there is none."""
+    order = np.argsort(-conf, kind="stable")
+    conf, share = conf[order], np.cumsum(right[order]) / np.arange(1, len(conf) + 1)
+    last = np.append(conf[1:] != conf[:-1], True)  # rows of equal confidence are in or out together
+    at = np.flatnonzero(last & (share >= sure) & (np.arange(1, len(conf) + 1) >= support))
+    return float(conf[at[-1]]) if len(at) else 2.0
+
+
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, apart: np.ndarray, surest: Surest, *, rounds: int = 5, exchange: int = 300, sure: float = 0.99, support: int = 20) -> QualityModel:
+    """``a``, ``b``: the two views of labelled rows, ``y`` their labels, ``apart``: rows for calibration.
+
+    A view gives pseudo-labels only where it is right on a share ``sure`` of the rows kept apart that it is as confident of, so a
+    weak view learns from a strong one without spoiling it.
+    """
     fit = ~apart
     if len(set(y[fit])) < 2 or len(set(y[apart])) < 2:
         fit = apart = np.ones(len(y), dtype=bool)
-    sets = [[a[fit]], [b[fit]]]
-    labels = [[y[fit]], [y[fit]]]
-    given = [np.zeros(len(ua), dtype=bool), np.zeros(len(ub), dtype=bool)]
+    sets, labels = [[a[fit]], [b[fit]]], [[y[fit]], [y[fit]]]
+    given: list[set[int]] = [set(), set()]
+    models = [fit_logistic(a[fit], y[fit]), fit_logistic(b[fit], y[fit])]
     good = y[fit].mean()
-    views, models = (ua, ub), [fit_logistic(a[fit], y[fit]), fit_logistic(b[fit], y[fit])]
-    most = max(1, int(share * len(ua)))
+    most = {1: max(1, round(exchange * good)), 0: max(1, round(exchange * (1 - good)))}
     for _ in range(rounds):
-        if not len(ua):
+        cutoff = {}
+        for me, x in ((0, a[apart]), (1, b[apart])):
+            p = 1 / (1 + np.exp(-models[me].logit(x)))
+            cutoff |= {(me, 1): least_confidence(p, y[apart] == 1, sure, support), (me, 0): least_confidence(1 - p, y[apart] == 0, sure, support)}
+        found = surest(models, given, most, cutoff)
+        for (other, label), (keys, rows) in sorted(found.items()):
+            if keys:
+                given[other].update(keys)
+                sets[other].append(rows)
+                labels[other].append(np.full(len(keys), float(label)))
+        if not any(keys for keys, _ in found.values()):
             break
-        for me, other in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-models[me].logit(views[me])))
-            free = ~given[other]
-            for label, conf, k in ((1, p, round(most * good)), (0, 1 - p, max(1, round(most * (1 - good))))):
-                at = np.flatnonzero(free & (conf >= sure))
-                at = at[np.argsort(-conf[at], kind="stable")][:k]
-                given[other][at] = True
-                sets[other].append(views[other][at])
-                labels[other].append(np.full(len(at), float(label)))
         models = [fit_logistic(np.concatenate(sets[i]), np.concatenate(labels[i])) for i in (0, 1)]
     la, lb = models[0].logit(a[apart])[:, None], models[1].logit(b[apart])[:, None]
     ca, cb = fit_logistic(la, y[apart], 0.01), fit_logistic(lb, y[apart], 0.01)
     join = fit_logistic(np.column_stack((ca.logit(la), cb.logit(lb))), y[apart], 0.1)
-    return QualityModel(models[0], models[1], ca, cb, join)
+    return QualityModel(models[0], models[1], ca, cb, join, (len(given[0]), len(given[1])))
+
+
+def surest_of(pool: DataFrame) -> Surest:
+    """Over all rows of ``pool`` (rid, a, b): every task keeps its own surest rows, of which the surest of all are taken."""
+    schema = "other int, label int, rid bigint, conf double, x array<double>"
+
+    def find(models: list[Logistic], given: list[set[int]], most: dict[int, int], cutoff: dict[tuple[int, int], float]) -> dict[tuple[int, int], tuple[list[int], np.ndarray]]:
+        gone = [np.array(sorted(g), dtype=np.int64) for g in given]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rid = batch.column(0).to_numpy()
+                views = _matrix(batch.column(1), CONTENT), _matrix(batch.column(2), PAGE)
+                for me, other in ((0, 1), (1, 0)):
+                    p = 1 / (1 + np.exp(-models[me].logit(views[me])))
+                    free = ~np.isin(rid, gone[other])
+                    for label, conf in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(free & (conf >= cutoff[me, label]))
+                        now = (conf[at], rid[at], views[other][at])
+                        if (other, label) in best:
+                            now = tuple(np.concatenate(x) for x in zip(best[other, label], now, strict=True))
+                        top = np.lexsort((now[1], -now[0]))[: most[label]]
+                        best[other, label] = tuple(x[top] for x in now)
+            for (other, label), (conf, rid, x) in best.items():
+                if len(rid):
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(rid) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    fixed = (pa.array(np.full(len(rid), v, dtype=np.int32)) for v in (other, label))
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(rid), pa.array(conf), rows], names=["other", "label", "rid", "conf", "x"])
+
+        kept = materialize(pool.select("rid", "a", "b").mapInArrow(run, schema), "surest")
+        out = {}
+        for other, n in ((0, CONTENT), (1, PAGE)):
+            for label in (1, 0):
+                top = kept.where((F.col("other") == other) & (F.col("label") == label)).orderBy(F.desc("conf"), "rid").limit(most[label])
+                got = top.select("rid", "x").toArrow()
+                out[other, label] = (got["rid"].to_pylist(), _matrix(got["x"], n))
+        discard(kept)
+        return out
+
+    return find
 
 
 def _undecided() -> QualityModel:
     """Without labels of both kinds every document scores 0.5."""
     flat = lambda n: Logistic(np.zeros(n), np.ones(n), np.zeros(n + 1))
-    return QualityModel(flat(len(content_view(None))), flat(len(page_view(None, None, None))), flat(1), flat(1), flat(2))
+    return QualityModel(flat(CONTENT), flat(PAGE), flat(1), flat(1), flat(2))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, max_unlabelled: int = 6000, rounds: int = 5) -> QualityModel:
-    """Fit on at most ``max_labelled`` documents of each label and ``max_unlabelled`` without one, chosen by hash."""
-    columns_of(docs, ["doc_id", "text", "lang", "source"])
-    ids = labelled_ids(labels, "quality", max_labelled)
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
-    pool = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(-1).alias("y"))
-    chosen = materialize(ids.unionAll(pool).withColumn("apart", held_out(F.col("doc_id"))), "quality-sample")
-    rows = texts_of(docs, chosen, ["text", "lang", "source"])
-
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = batch.to_pydict()
-            a = [content_view(t) for t in r["text"]]
-            b = [page_view(*x) for x in zip(r["text"], r["lang"], r["source"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64()))], names=["doc_id", "y", "apart", "a", "b"])
+def fit_quality(views: Views, labels: DataFrame, *, max_labelled: int = 3000, rounds: int = 5, exchange: int = 300, sure: float = 0.99) -> QualityModel:
+    """Co-train on at most ``max_labelled`` documents of each label, chosen by hash, and on all documents without one.
 
-    got = rows.select("doc_id", "y", "apart", "text", "lang", "source").mapInArrow(views, "doc_id bigint, y int, apart boolean, a array<double>, b array<double>").orderBy("doc_id", "y").toArrow()
+    A round moves at most ``exchange`` pseudo-labels each way, in the labels' proportion; ``sure`` is as in :func:`co_train`. Labels
+    other than 0 and 1, null ids and labels without a document are left out; conflicting labels count as 1; of documents with
+    one id the first row is learned from. Without labels of both kinds, the model scores 0.5 everywhere.
+    """
+    ids = labelled_ids(labels, "quality", max_labelled)
+    rows = views.frame.join(F.broadcast(ids), views.frame["id"] == ids["doc_id"]).select("id", "y", "rid", "a", "b")
+    rows = rows.groupBy("id", "y").agg(F.min_by(F.struct("a", "b"), "rid").alias("v")).select("y", held_out(F.col("id")).alias("apart"), "v.a", "v.b", "id")
+    got = rows.orderBy("id").toArrow()
     y = got["y"].to_numpy().astype(float)
-    a, b = (np.array(got[c].to_pylist()).reshape(len(y), -1) for c in ("a", "b"))
-    apart, known = got["apart"].to_numpy(zero_copy_only=False), y >= 0
-    if len(set(y[known])) < 2:
+    if len(set(y)) < 2:
         return _undecided()
-    return co_train(a[known], b[known], y[known], apart[known], a[~known], b[~known], rounds=rounds)
+    a, b, apart = _matrix(got["a"], CONTENT), _matrix(got["b"], PAGE), got["apart"].to_numpy(zero_copy_only=False).astype(bool)
+    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    pool = materialize(views.frame.select("rid", "id", "a", "b").join(known, "id", "left_anti").drop("id"), "unlabelled")
+    model = co_train(a, b, y, apart, surest_of(pool), rounds=rounds, exchange=exchange, sure=sure)
+    discard(pool)
+    return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5, carry: bool = False) -> DataFrame:
-    """doc_id, content_score, page_score, score, kept (score >= threshold) for every row; with ``carry`` its columns too.
+def score_quality(views: Views, model: QualityModel, *, threshold: float = 0.5) -> DataFrame:
+    """The carried columns, content_score, page_score, score, kept (score >= threshold) for every row, in no order.
 
-    A null or empty text is scored by its page view and by a content view of zeros. Null languages and
-    sources count as empty strings. Repeated rows, null ids and extra columns make no difference; an
-    empty table gives an empty table.
+    A null or empty text is scored by its page view and by a content view of zeros. Carried columns called like a result hide nothing:
+    both are there, so rename one of them before use by name.
     """
-    columns_of(docs, ["doc_id", "text", "lang", "source"])
-    names = list(docs.columns) if carry else ["doc_id"]
-    asked = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), docs["text"].alias("t"), docs["lang"].alias("l"), docs["source"].alias("s"))
-    kept = asked.schema.fields[: len(names)]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "content_score double, page_score double, score double"])
+    n = len(views.names)
+    asked = views.frame.select(*(f"c{i}" for i in range(n)), "a", "b")
+    schema = T.StructType([*asked.schema.fields[:n], *(T.StructField(c, T.DoubleType()) for c in ("content_score", "page_score", "score"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(names)
-            text, lang, source = (batch.column(n + i).to_pylist() for i in range(3))
-            if text:
-                a = np.array([content_view(t) for t in text])
-                b = np.array([page_view(*x) for x in zip(text, lang, source, strict=True)])
-                found = model.scores(a, b)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *map(pa.array, found)], names=[*(f"c{i}" for i in range(n)), "content_score", "page_score", "score"])
+            if batch.num_rows:
+                found = model.scores(_matrix(batch.column(n), CONTENT), _matrix(batch.column(n + 1), PAGE))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *map(pa.array, found)], names=schema.names)
 
     scored = asked.mapInArrow(run, schema)
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "content_score", "page_score", "score", (F.col("score") >= threshold).alias("kept"))
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(views.names)), "content_score", "page_score", "score", (F.col("score") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
+def good_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` that a classifier co-trained on ``labels`` keeps, with their columns, whatever they are called.
+
+    Nulls, ties, repeated rows and empty tables are as in :func:`quality_views` and :func:`fit_quality`; rows that agree in text,
+    language and source all stay or all go.
+    """
     names = list(docs.columns)
-    clear = docs.toDF(*(f"d{i}" for i in range(len(names))))
-    back = {c: F.col(f"d{i}") for i, c in enumerate(names)}
-    asked = clear.select("*", back["doc_id"].alias("doc_id"), back["text"].alias("text"), back["lang"].alias("lang"), back["source"].alias("source"))
-    kept = score_quality(asked.select(*(f"d{i}" for i in range(len(names))), "doc_id", "text", "lang", "source"), model, threshold=threshold, carry=True)
-    return kept.where("kept").select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(names)))
+    views = quality_views(docs, names)
+    model = fit_quality(views, labels, **options)
+    clear = Views(views.frame, [f"d{i}" for i in range(len(names))])
+    return score_quality(clear, model, threshold=threshold).where("kept").select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(names)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.chat_format import chat_digest, format_chats
 from quillspark.llm.decontaminate import contaminated
 from quillspark.llm.mixing import mix_sources
-from quillspark.llm.quality_classifier import fit_quality, score_quality
+from quillspark.llm.quality_classifier import fit_quality, quality_views, score_quality
 from quillspark.llm.quality_rules import quality_rules
 from quillspark.llm.sharding import shard_documents
 from quillspark.llm.simhash_dedup import simhash_groups
@@ -41,8 +41,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    views = quality_views(_table(spark, sf_dir, "documents"))
+    return score_quality(views, fit_quality(views, _table(spark, sf_dir, "labels")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,10 +99,11 @@ def encode(rows: Iterable[tuple[str | None, int]]) -> Bags:
     return Bags(list(known), np.array(words, dtype=np.int64), np.repeat(np.arange(len(n)), n), np.array(bag_of, dtype=np.int64), np.array(y), np.frombuffer(bytes(first), dtype=np.uint8).astype(bool))
 
 
-def telling_features(bags: Bags, least: int = 4, most: int = 5000, evidence: float = 25.0) -> list[str]:
-    """Features that toxic documents' distinct sentences have more often than others, by a likelihood ratio.
+def telling_features(bags: Bags, least: int = 4, evidence: float = 25.0) -> list[str]:
+    """All features that toxic documents' distinct sentences have more often than others, by a likelihood ratio.
 
-    Counting distinct sentences keeps copies of a document from counting more than once.
+    Counting distinct sentences keeps copies of a document from counting more than once. The bound on labelled documents
+    bounds the features.
     """
     counted = bags.first_seen[bags.sentence_of]
     toxic = bags.y[bags.bag_of[bags.sentence_of]] == 1
@@ -121,7 +122,7 @@ def telling_features(bags: Bags, least: int = 4, most: int = 5000, evidence: flo
             ratio = 2 * (k * np.log(k / (n * rate)) + (neg[f] * np.log(neg[f] / (n * (1 - rate))) if neg[f] else 0.0))
             if ratio >= evidence:
                 found.append((-ratio, f))
-    return [f for _, f in sorted(found)[:most]]
+    return [f for _, f in sorted(found)]
 
 
 def train(rows: Iterable[tuple[str | None, int]], *, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> ToxicityModel:
@@ -159,7 +160,12 @@ def train(rows: Iterable[tuple[str | None, int]], *, steps: int = 300, rate: flo
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, label_col: str = "toxic") -> ToxicityModel:
-    """Train on at most ``max_labelled`` documents of each label, none of them held out."""
+    """Train on at most ``max_labelled`` documents of each label, none of them held out.
+
+    Labels other than 0 and 1, null ids and labels without a document are left out; conflicting labels count as 1; of documents
+    with one id the least text is learned from; null texts teach nothing. Without labels of both kinds every text scores nearly 0.
+    Documents come to the driver one at a time, and only the numbers of their words stay.
+    """
     columns_of(docs, ["doc_id", "text"])
     ids = labelled_ids(labels, label_col, max_labelled, ~held_out(F.col("doc_id")))
     rows = texts_of(docs, ids, ["text"]).select("doc_id", "y", "text").orderBy("doc_id").toLocalIterator()
@@ -173,30 +179,38 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     each get a row; extra columns are ignored.
     """
     columns_of(docs, ["doc_id", "text"])
-    asked = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
+    asked = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array([model.score(t.as_py()) for t in batch.column(2)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
-    scored = asked.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
+    scored = asked.mapInArrow(run, f"doc_id {asked.schema[0].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, ordinal, sentence (lower case), score of every sentence at or above ``threshold``."""
+    """doc_id, ordinal, sentence (lower case), score of every sentence at or above ``threshold``.
+
+    Null and empty texts have no sentences. Repeated rows each give theirs; null ids stay null; equal sentences of
+    a document are told apart by ordinal. An empty table gives an empty table; extra columns are ignored.
+    """
     columns_of(docs, ["doc_id", "text"])
+    asked = docs.select(docs["doc_id"], docs["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row, ordinal, said, score = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 pieces = sentences(text)
                 p = model.sentence_scores(pieces)
-                out += [(doc_id, int(i), pieces[i].strip(), float(p[i])) for i in np.flatnonzero(p >= threshold)]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            types = [pa.int64(), pa.int32(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "ordinal", "sentence", "score"])
-
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id bigint, ordinal int, sentence string, score double")
+                for j in np.flatnonzero(p >= threshold).tolist():
+                    row.append(i)
+                    ordinal.append(j)
+                    said.append(pieces[j].strip())
+                    score.append(float(p[j]))
+            ids = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ordinal, pa.int32()), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "ordinal", "sentence", "score"])
+
+    return asked.mapInArrow(run, f"doc_id {asked.schema[0].dataType.simpleString()}, ordinal int, sentence string, score double")

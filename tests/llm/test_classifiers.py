@@ -62,22 +62,80 @@ def test_training_data_of_one_kind():
 
 def test_quality(spark):
     d, l = frames(spark)
-    model = qc.fit_quality(d, l)
-    got = qc.score_quality(d, model).toPandas()
+    views = qc.quality_views(d)
+    model = qc.fit_quality(views, l)
+    got = qc.score_quality(views, model).toPandas()
     assert len(got) == d.count()
     truth = {r.doc_id: r.quality for r in l.where("doc_id < 700 AND quality IS NOT NULL").collect()}
     known = got[got.doc_id.isin(list(truth))]
     assert np.mean([truth[int(k)] == v for k, v in zip(known.doc_id, known.kept)]) > 0.97
-    kept = qc.keep_good(d, model)
+    kept = qc.good_documents(d, l)
     assert kept.columns == d.columns and kept.count() == got.kept.sum()
 
 
+def test_views_share_nothing():
+    rng = random.Random(3)
+    for _ in range(50):
+        words = ["".join(rng.choice("abcXYZ$!é") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60))]
+        text = " ".join(words)
+        long = "\n".join([text] * 3)
+        assert np.allclose(qc.content_view(text)[: qc.ENDS + qc.WORDS], qc.content_view(long)[: qc.ENDS + qc.WORDS])
+        other = "".join(rng.choice("qrst") if c not in " \n" else c for c in long)
+        assert np.allclose(qc.page_view(long, "en", "s"), qc.page_view(other, "en", "s"))
+    seen = qc.content_view("B!! a B!!")
+    assert seen[: qc.ENDS].sum() == 1 and seen[qc.ENDS : qc.ENDS + qc.WORDS].sum() == 1 and seen[-1] == 2 / 3 and not qc.content_view(None).any()
+
+
 def test_quality_without_labels_or_rows(spark):
     d, l = frames(spark)
-    model = qc.fit_quality(d, l.where("quality = 1"))
-    got = qc.score_quality(d.limit(5), model).toPandas()
+    views = qc.quality_views(d.limit(5))
+    got = qc.score_quality(views, qc.fit_quality(views, l.where("quality = 1"))).toPandas()
     assert (got.score == 0.5).all() and got.kept.all()
-    assert qc.score_quality(d.where("doc_id < -1"), model).count() == 0
+    none = d.where("doc_id < -1")
+    assert qc.score_quality(qc.quality_views(none), qc.fit_quality(qc.quality_views(none), l)).count() == 0
+    assert qc.good_documents(none, l).count() == 0 and qc.good_documents(d, l.where("false")).count() == d.count()
+
+
+def test_text_ids_and_clashing_columns(spark):
+    docs, labels = corpus(300, 4)
+    d = spark.createDataFrame([(f"n{i}", *x) for i, *x in docs], "doc_id string, text string, lang string, source string")
+    d = d.selectExpr("*", "1 AS c0", "2 AS rid", "3 AS a", "4 AS kept", "5 AS score", "6 AS id")
+    l = spark.createDataFrame([(f"n{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    kept = qc.good_documents(d, l)
+    assert kept.dtypes == d.dtypes
+    bad = {f"n{i}" for i, q, _ in labels if not q}
+    got = {r.doc_id for r in kept.collect()}
+    assert len(got & bad) <= 0.1 * len(bad) and len(got) > 0.6 * len(docs)
+    found = tox.score_toxicity(d, tox.fit_toxicity(d, l))
+    assert found.schema["doc_id"].dataType.simpleString() == "string" and found.count() == len(docs)
+
+
+def test_rounds_take_the_surest_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    n = 5000
+    y = (rng.random(n) < 0.5).astype(float)
+    a, b = rng.normal(size=(n, qc.CONTENT)), rng.normal(size=(n, qc.PAGE))
+    a[:, 0] += 4 * y
+    b[:, 0] += 4 * y
+    models = [qc.fit_logistic(a[:500], y[:500]), qc.fit_logistic(b[:500], y[:500])]
+    pool = spark.createDataFrame([(i, a[i].tolist(), b[i].tolist()) for i in range(n)], "rid bigint, a array<float>, b array<float>").repartition(7)
+    given = [set(range(0, n, 2)), set()]
+    cut = {(me, label): 0.6 + 0.1 * label for me in (0, 1) for label in (0, 1)}
+    got = qc.surest_of(pool)(models, given, {1: 40, 0: 25}, cut)
+    a32, b32 = a.astype(np.float32).astype(float), b.astype(np.float32).astype(float)
+    for me, view, other in ((0, a32, 1), (1, b32, 0)):
+        p = 1 / (1 + np.exp(-models[me].logit(view)))
+        for label, conf, k in ((1, p, 40), (0, 1 - p, 25)):
+            free = [i for i in range(n) if i not in given[other] and conf[i] >= cut[me, label]]
+            want = sorted(free, key=lambda i: (-conf[i], i))[:k]
+            keys, rows = got[other, label]
+            assert sorted(keys) == sorted(want) and np.allclose(rows, (a32, b32)[other][keys])
+
+
+def test_least_confidence():
+    conf, right = np.array([0.9, 0.8, 0.8, 0.7, 0.6]), np.array([True, True, False, True, False])
+    assert qc.least_confidence(conf, right, 0.9, 1) == 0.9 and qc.least_confidence(conf, right, 0.7, 1) == 0.7
+    assert qc.least_confidence(conf, right, 0.9, 2) == 2.0 and qc.least_confidence(conf, right, 0.6, 1) == 0.6
 
 
 def test_exchange_helps_the_weak_view():
@@ -85,7 +143,17 @@ def test_exchange_helps_the_weak_view():
     y = (rng.random(4000) < 0.7).astype(float)
     a = np.column_stack([y + rng.normal(0, 0.4, 4000), rng.normal(size=(4000, 3))])
     b = np.column_stack([y + rng.normal(0, 0.5, 4000), rng.normal(size=(4000, 3))])
-    fit = slice(0, 60)
-    model = qc.co_train(a[fit], b[fit], y[fit], np.arange(60) >= 40, a[60:], b[60:])
-    _, _, both = model.scores(a[60:], b[60:])
-    assert ((both >= 0.5) == (y[60:] == 1)).mean() > 0.93
+    fit, ua, ub = slice(0, 60), a[60:], b[60:]
+
+    def surest(models, given, most, cutoff):
+        out = {}
+        for me, other in ((0, 1), (1, 0)):
+            p = 1 / (1 + np.exp(-models[me].logit((ua, ub)[me])))
+            for label, conf in ((1, p), (0, 1 - p)):
+                at = [i for i in np.argsort(-conf, kind="stable") if conf[i] >= cutoff[me, label] and i not in given[other]][: most[label]]
+                out[other, label] = (at, (ua, ub)[other][at])
+        return out
+
+    model = qc.co_train(a[fit], b[fit], y[fit], np.arange(60) >= 40, surest, sure=0.9, support=5)
+    _, _, both = model.scores(ua, ub)
+    assert ((both >= 0.5) == (y[60:] == 1)).mean() > 0.93 and min(model.given) > 300
