@@ -1,13 +1,14 @@
 """Intermediate tables in the shared folder that the cluster names.
 
-``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, a laptop)
-is a local folder made and set. Tables written here cut the lineage: an executor that is lost
+``spark.checkpoint.dir`` is read from the session. Only where it is unset and the executors run inside the driver
+(tests, a laptop) is a local folder made and set; a cluster must name one. Tables written here cut the lineage: an executor that is lost
 later costs a re-read, not a recomputation.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,6 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tables() -> set[str]:
+    """Paths of the intermediate tables that are there now."""
+    return set(_PATHS)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing will read again."""
     path = getattr(df, "_quillspark_path", None)

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillspark import scratch
 from quillspark.functions import colors, geometry, strings
 from quillspark.functions import templates as bind_functions
 from quillspark.operators import bookmarks, diff, docx_xml, forms, pages, segmentation, spatial, templates
@@ -216,3 +217,26 @@ def test_stream_equals_batch(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "e"))
     streamed = page_events.replay(spark, str(tmp_path / "e"), str(tmp_path / "e"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, page_events.windowed_counts(spark.read.parquet(str(tmp_path / "e"))).collect()))
+
+
+def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
+    class Conf:
+        def __init__(self, root):
+            self.root = root
+
+        def get(self, key, default):
+            return self.root
+
+        def set(self, key, value):
+            self.root = value
+
+    class Session:
+        def __init__(self, master, root=None):
+            self.conf, self.sparkContext = Conf(root), type("C", (), {"master": master})
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            scratch.shared_root(Session(master))
+        assert scratch.shared_root(Session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("local", "local[4]", "local[*]"):
+        assert scratch.shared_root(Session(master)).startswith("file:///")
