@@ -126,7 +126,7 @@ def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prior_col: str | None = None,
     weights: list[float] | None = None, max_copies: int = 3, carry: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of ``docs``; with ``carry``, its columns and copies.
+    """doc_id, size, source_size, target, copies, taken for every row of ``docs``; with ``carry``, its columns as c0, c1, ... and _copies.
 
     Size is the number of words; a null text has none and is taken neither more nor less. A null source is a
     source of its own, the last. Null ids take part like others; repeated rows are rows of their own,
@@ -166,7 +166,7 @@ def mix_sources(
     rate = F.when(F.col("size") == 0, F.least(F.col("prior"), cap)).otherwise(F.coalesce(rate, F.lit(0.0)))
     copies = _copies(rated.select("rid", "doc_id", "key", "size", "h", rate.alias("rate")), sized.count())
     if carry:
-        return sized.join(copies, "rid").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("copies").alias("_copies"))
+        return sized.join(copies, "rid").select(*(f"c{i}" for i in range(len(names))), F.col("copies").alias("_copies"))
     return sized.select("rid", "doc_id", key, "size").join(targets, "key").join(copies, "rid").select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
@@ -179,4 +179,5 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     as its prior says). An empty table gives an empty table; columns of any name are kept as they are.
     """
     mixed = mix_sources(docs, carry=True, **options)
-    return mixed.select(*(F.col(c) for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    each = mixed.select("*", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return each.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
