@@ -41,6 +41,11 @@ def _repeat_words(w: Column) -> Column:
     return F.coalesce(some, F.lit(0)).cast("long")
 
 
+def _normal(text: Column) -> Column:
+    """Lower case, white space inside lines collapsed."""
+    return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -49,11 +54,13 @@ def quality_rules(
     host_col: str = "source",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    line_min_docs: int = 50,
+    line_min_docs: int = 5,
     line_max_share: float = 0.05,
     min_left_share: float = 0.3,
+    texts: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: base counts, verdict of the base rules, verdict of the line rule.
+    """One row per row of ``docs``: base counts, verdict of the base rules, verdict of the line rule; with ``texts`` also
+    ``kept_text``, the text without the lines that are removed.
 
     A line's limit on a host is ``max(line_min_docs, line_max_share * documents of the host)``; a line
     in more documents than that is removed. A document is depleted when less than ``min_left_share`` of
@@ -61,7 +68,7 @@ def quality_rules(
     line frequent.
 
     Nulls: a null text has no words and fails the base rules; a null host is a host of its own; a null
-    id stays null. Repeated rows and repeated ids each get their own row. Lines are compared in lower
+    id stays null; a null text is kept as an empty one. Lines without a word are never removed. Repeated rows and repeated ids each get their own row. Lines are compared in lower
     case, with white space collapsed and trimmed; lines without a word are ignored. An empty table gives
     an empty table. Extra columns are ignored.
 
@@ -70,7 +77,7 @@ def quality_rules(
     """
     columns_of(docs, [id_col, text_col, host_col])
     text = F.coalesce(docs[text_col], F.lit(""))
-    flat = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    flat = _normal(text)
     split = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         docs[id_col].alias("doc_id"),
@@ -92,6 +99,7 @@ def quality_rules(
             (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
             _repeat_words(F.col("w")).alias("n_repeat_words"),
             F.transform("norm", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
+            *(["text"] if texts else []),
         ),
         "quality-rules",
     )
@@ -116,13 +124,16 @@ def quality_rules(
         base.select("rid", "host", F.explode("lines").alias("line"))
         .join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line.h") == F.col("f_h")))
         .groupBy("rid")
-        .agg(F.sum("line.n").alias("n_removed"))
+        .agg(F.sum("line.n").alias("n_removed"), *([F.collect_set("line.h").alias("gone")] if texts else []))
     )
     n, cut = F.col("n_words"), F.coalesce(F.col("n_removed"), F.lit(0)).cast("long")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
+    left_over = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(F.trim(_normal(x)))))
+    kept_text = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left_over, "\n")).alias("kept_text")] if texts else []
     return base.join(removed, "rid", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ((n - cut) >= n * F.lit(min_left_share))).alias("kept"),
         cut.alias("n_line_words_removed"),
+        *kept_text,
     )

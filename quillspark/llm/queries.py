@@ -123,7 +123,7 @@ rep AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1,
 raw AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 l AS (SELECT rid, source, t, line, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
-hosts AS (SELECT source, greatest(50, 0.05 * count(DISTINCT t)) AS most FROM d GROUP BY 1),
+hosts AS (SELECT source, greatest(5, 0.05 * count(DISTINCT t)) AS most FROM d GROUP BY 1),
 often AS (SELECT source, norm FROM l JOIN hosts USING (source) GROUP BY 1, 2 HAVING count(DISTINCT t) > any_value(most)),
 cut AS (SELECT rid, sum(len(string_split(norm, ' '))) AS n FROM l JOIN often USING (source, norm) GROUP BY 1),
 b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -3,13 +3,15 @@
 A window is ``width`` words in a row. Windows are compared in two steps that lose none:
 
 1. Every window has a minimizer, the least hash among its ``gram``-word pieces; equal windows have equal
-   ones. Windows in a row with one minimizer are a run. Runs, about one for 20 words, are what is
-   shuffled. A minimizer that one document alone has settles its windows.
+   ones. Windows in a row with one minimizer are a run, of ``LONGEST`` windows at most. Runs, about one for 20
+   words, are what is shuffled. A minimizer that one document alone has settles its windows.
 2. A run whose whole word sequence starts in an earlier document too is removed whole. What remains are runs at
    the edges of shared passages: of each different one the first document's windows are compared
    one by one.
 
-Word sequences are compared by two independent 64-bit hashes. Counts are pre-aggregated, so a passage
+Word sequences are compared by two independent 64-bit hashes, sums of word hashes times powers of odd bases modulo 2**64.
+Such sums are weak only for sequences of 2,048 words and more that are alike in a certain way; runs are
+shorter, which is what their bound is for. Counts are pre-aggregated, so a passage
 that a third of the documents share costs a row per task, and nothing is collected per passage.
 """
 
@@ -29,7 +31,8 @@ from quillspark.scratch import discard, materialize
 
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D | 5)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
-RUNS = "doc bigint, t bigint, mz bigint, r1 bigint, r2 bigint, s0 int, n int"
+RUNS = "doc {}, t bigint, mz bigint, r1 bigint, r2 bigint, s0 int, n int"
+LONGEST = 64
 RUN_FIELDS = ("doc", "t", "mz", "r1", "r2", "s0", "n")
 
 
@@ -79,6 +82,11 @@ def runs_of(words: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]
     least = _sliding_min(q.hashes(0, at, at + gram), width - gram + 1)
     s0 = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     count = np.diff(np.append(s0, n))
+    if count.max() > LONGEST:  # a text that repeats itself
+        parts = -(-count // LONGEST)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        s0 = np.repeat(s0, parts) + step * LONGEST
+        count = np.diff(np.append(s0, n))
     stop = s0 + count + width - 1
     return least[s0], q.hashes(0, s0, stop), q.hashes(1, s0, stop), s0, count
 
@@ -92,12 +100,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A word goes when a window that covers it also starts in a document with a smaller id; windows are judged on
     the input. A null text has no words. A row without id is neither earlier nor later than any: it keeps
-    all words. Rows that repeat an id don't count as earlier than each other. An empty table gives an empty
+    all words. Ids may be of any type that has an order. Rows that repeat an id don't count as earlier than each other. An empty table gives an empty
     table; extra columns are ignored.
     """
     columns_of(docs, [id_col, text_col])
-    named = docs.select(docs[id_col].cast("bigint").alias("doc"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("body"))
+    named = docs.select(docs[id_col].alias("doc"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("body"))
     named = named.withColumn("t", F.xxhash64("body"))
+    kind = named.schema["doc"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +117,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if got is None:
                     continue
                 k = len(got[0])
-                held.append((np.full(k, doc.as_py()), np.full(k, t.as_py()), *(x.view(np.int64) for x in got[:3]), *got[3:]))
+                held.append((pa.repeat(doc, k), np.full(k, t.as_py()), *(x.view(np.int64) for x in got[:3]), *got[3:]))
                 rows += k
                 if rows > 100_000:
                     yield _batch(held)
@@ -117,10 +126,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield _batch(held)
 
     def _batch(held: list[tuple]) -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if i > 4 else np.int64)) for i, c in enumerate(cols)], names=RUN_FIELDS)
+        ids, *rest = zip(*held, strict=True)
+        cols = [np.concatenate(c) for c in rest]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c.astype(np.int32 if i > 3 else np.int64)) for i, c in enumerate(cols))], names=RUN_FIELDS)
 
-    runs = materialize(named.where("doc IS NOT NULL").select("doc", "body", "t").mapInArrow(find, RUNS), "runs")
+    runs = materialize(named.where("doc IS NOT NULL").select("doc", "body", "t").mapInArrow(find, RUNS.format(kind)), "runs")
     shared = runs.groupBy("mz").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mz")
     cand = materialize(runs.join(shared, "mz"), "shared-runs")
     discard(runs)
@@ -144,10 +154,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     at = np.arange(r["s0"], r["s0"] + r["n"])
                     parts.append((q.hashes(0, at, at + width).view(np.int64), q.hashes(1, at, at + width).view(np.int64), np.full(r["n"], r["r1"]), np.full(r["n"], r["r2"]), (at - r["s0"]).astype(np.int32)))
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), doc.as_py()))], names=names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.repeat(doc, len(cols[0]))], names=names)
 
     windows = named.join(asked, ["doc", "t"]).select("doc", "body", "runs")
-    windows = materialize(windows.mapInArrow(spread, "w1 bigint, w2 bigint, r1 bigint, r2 bigint, off int, doc bigint"), "windows")
+    windows = materialize(windows.mapInArrow(spread, f"w1 bigint, w2 bigint, r1 bigint, r2 bigint, off int, doc {kind}"), "windows")
     earlier = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     earlier = materialize(earlier, "shared-windows")  # so that the join deals rows anew and can divide a window that many have
     hit = windows.join(earlier, ["w1", "w2"]).where("doc > lo").select("r1", "r2", "off", F.col("doc").alias("d0")).distinct()
@@ -176,5 +186,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     done = named.join(spans, ["doc", "t"], "left").select("doc", "body", "a", "b")
-    done = done.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    done = done.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     return done if texts else done.drop("kept_text")

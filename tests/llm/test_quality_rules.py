@@ -45,6 +45,17 @@ def test_brute_force(spark):
         assert got == slow(rows, least, share, 0.3)
 
 
+def test_kept_texts(spark):
+    common = "Read our cookie  policy"
+    rows = [(i, f"own line {i}\n{common}\n\n  {common.upper()} \nlast {i}", "h") for i in range(8)]
+    rows += [(20, f"{common}\nonly here", "other"), (21, None, "h"), (22, common, "h"), (23, " \n \nx", "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS gone", "'q' AS kept_text")
+    got = {r.doc_id: (r.kept_text, r.n_line_words_removed) for r in quality_rules(df, texts=True).collect()}
+    for i in range(8):
+        assert got[i] == (f"own line {i}\n\nlast {i}", 8)
+    assert got[20] == (rows[8][1], 0) and got[21] == ("", 0) and got[22] == ("", 4) and got[23] == (" \n \nx", 0)
+
+
 def test_empty_and_native(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     out = quality_rules(df)

@@ -55,3 +55,19 @@ def test_texts_and_empty(spark):
     got = {r.doc_id: r for r in dedup_substrings(df, texts=True).collect()}
     assert got[1].kept_text == long and got[2].kept_text == "x y"
     assert dedup_substrings(df.where("doc_id > 5")).count() == 0
+
+
+def test_long_repetition_and_text_ids(spark):
+    """Runs beyond the longest are cut wherever a document's run begins, which differs between documents."""
+    rng = random.Random(5)
+    thue = [bin(i).count("1") % 2 for i in range(4096)]
+    rows = [
+        ("a", "z " * 700 + "end"), ("b", "q " + "z " * 333), ("c", " ".join(["u v"] * 400)), ("d", "u " + "v u " * 250),
+        ("e", " ".join("xy"[t] for t in thue[:2048])), ("f", " ".join("yx"[t] for t in thue[:2048])),
+        ("g", " ".join(str(rng.randrange(10**6)) for _ in range(50_000))), ("h", "z " * 49),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = [tuple(r) for r in dedup_substrings(df).collect()]
+    assert sorted(got, key=str) == brute(rows, 50)
+    none = [tuple(r) for r in dedup_substrings(df.where("doc_id = 'g'")).collect()]
+    assert none[0][2] == 0
