@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key", "hamming")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,22 @@ FROM f
 """
 
 
+OP6_SQL = r"""
+WITH i AS (SELECT DISTINCT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM
+  (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+ish AS (SELECT item_id, w AS iw, n, k, s, count(*) AS c FROM (SELECT item_id, w, n, k, unnest(list_transform(range(1, n - k + 2), lambda j: w[j : j + k - 1])) AS s FROM i) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+dsh AS (SELECT rid, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: w[j : j + k - 1])) AS s, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i)),
+hit AS (SELECT rid, item_id, iw, n, dsh.k, c, s, p FROM dsh JOIN ish USING (k, s)),
+starts AS (SELECT DISTINCT rid, item_id, iw, n, k, unnest(range(p - n + k, p + 1)) AS a FROM hit),
+win AS (SELECT starts.*, greatest(a, 0) AS b, least(a + n, len(w)) AS e FROM starts JOIN d USING (rid)),
+shared AS (SELECT win.rid, win.item_id, win.iw, win.n, win.k, b, e, s, least(count(*), any_value(c)) AS m FROM win JOIN hit ON win.rid = hit.rid AND win.item_id = hit.item_id AND win.iw = hit.iw AND p BETWEEN b AND e - win.k
+  GROUP BY win.rid, win.item_id, win.iw, win.n, win.k, a, b, e, s),
+m AS (SELECT rid, item_id, iw, b, e, CAST(sum(m) AS DOUBLE) / (n - k + 1 + e - b - k + 1 - sum(m)) AS similarity FROM shared GROUP BY rid, item_id, iw, n, k, b, e),
+best AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY similarity DESC, b, e) AS r FROM m WHERE similarity >= 0.8)
+SELECT doc_id, item_id, CAST(b AS INTEGER) AS first_word, CAST(e - b AS INTEGER) AS n_words, similarity FROM best JOIN d USING (rid) WHERE r = 1
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 h AS (SELECT rid, doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS hs FROM d WHERE len(w) >= 50),
@@ -145,4 +161,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_chat_format": OP10_SQL}

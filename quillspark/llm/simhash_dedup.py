@@ -6,8 +6,9 @@ each choice of ``r`` blocks the fingerprints that agree there form one binary tr
 Each trie is joined with itself: pairs of nodes are walked together from the root, the bits in which
 they differ are added up, and a pair is dropped as soon as the sum is over the budget.
 
-A trie with more than ``trie_rows`` fingerprints is dealt over several tasks, as all pairs of its
-parts. A task returns a spanning forest of the links that it finds, not the links: a pair of nodes
+A trie with more than ``trie_rows`` fingerprints is split further: its other bits are cut into ``budget + 1``
+blocks, and two linked fingerprints agree on at least one of them. What is still larger is dealt over
+several tasks, as all pairs of its parts. A task returns a spanning forest of the links that it finds, not the links: a pair of nodes
 whose fingerprints are all in one tree already is dropped too, so a dense group costs little.
 """
 
@@ -87,6 +88,13 @@ def tables(budget: int, agree: int) -> list[int]:
     return [sum(block[i] for i in pick) for pick in combinations(range(n), agree)]
 
 
+def finer(mask: int, budget: int) -> list[int]:
+    """``mask`` with each of ``budget + 1`` blocks of its other bits."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    edge = [len(rest) * i // (budget + 1) for i in range(budget + 2)]
+    return [mask | sum(1 << b for b in rest[x:y]) for x, y in zip(edge, edge[1:])]
+
+
 def agreeing_blocks(rows: int, budget: int, per_trie: int = 4096) -> int:
     """How many blocks to agree on, so that random fingerprints give about ``per_trie`` to a trie; never over 4."""
     for r in (1, 2, 3):
@@ -200,15 +208,24 @@ def links(fps: DataFrame, *, budget: int = 4, agree: int | None = None, trie_row
     """Edges (u, v) between distinct fingerprints (column ``fp``) that connect whatever is linked."""
     if agree is None:
         agree = agreeing_blocks(fps.count(), budget)
-    masks = tables(budget, agree)
-    assert len(masks) == comb(budget + agree, agree)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = fps.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")
-    ).select("fp", "x.t", "x.k")
-    large = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > trie_rows)
-    parts = F.coalesce(F.ceil(F.col("n") / trie_rows), F.lit(1)).cast("int")
-    dealt = rows.join(large, ["t", "k"], "left").select("fp", "t", "k", parts.alias("parts"))
+    coarse = tables(budget, agree)
+    assert len(coarse) == comb(budget + agree, agree)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    each = budget + 2  # a trie and its finer ones
+    masks = [m for mask in coarse for m in (mask, *finer(mask, budget))]
+    key = lambda t, m: F.struct(t.cast("int").alias("t"), F.col("fp").bitwiseAND(m).alias("k"))
+    rows = fps.select("fp", F.explode(F.array(*(key(F.lit(each * t), F.lit(signed(m))) for t, m in enumerate(coarse)))).alias("x")).select("fp", "x.t", "x.k")
+    count = lambda df: materialize(df.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > trie_rows), "large-tries")
+    large = count(rows)
+    parts = F.lit(1)
+    if large.limit(1).count():
+        known = F.array(*(F.lit(signed(m)).cast("bigint") for m in masks))
+        split = F.array(*(key(F.col("t") + i, F.element_at(known, F.col("t") + i + 1)) for i in range(1, each)))
+        marked = rows.join(large, ["t", "k"], "left").select("fp", "t", "k", F.when(F.col("n").isNull(), F.array(F.struct("t", "k"))).otherwise(split).alias("xs"))
+        rows = marked.select("fp", F.explode("xs").alias("x")).select("fp", "x.t", "x.k")
+        rows = rows.join(count(rows), ["t", "k"], "left")
+        parts = F.coalesce(F.ceil(F.col("n") / trie_rows), F.lit(1))
+    dealt = rows.select("fp", "t", "k", parts.cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = dealt.select("fp", "t", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select(

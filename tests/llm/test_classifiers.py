@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -157,3 +159,52 @@ def test_exchange_helps_the_weak_view():
     model = qc.co_train(a[fit], b[fit], y[fit], np.arange(60) >= 40, surest, sure=0.9, support=5)
     _, _, both = model.scores(ua, ub)
     assert ((both >= 0.5) == (y[60:] == 1)).mean() > 0.93 and min(model.given) > 300
+
+
+def slow_score(model, text):
+    """Noisy-or in plain loops."""
+    none = 1.0
+    for piece in re.split(r"[.!?\n]", (text or "").lower()):
+        if not piece.strip():
+            continue
+        z = model.bias
+        for word in set(re.findall(r"\w+", piece)):
+            z += model.weights.get(word, 0.0)
+            z += sum(model.weights.get(word[:n] + "-", 0.0) for n in range(3, 9) if n < len(word))
+        none *= 1 - 1 / (1 + math.exp(-max(min(z, 500), -500)))
+    return 1 - none
+
+
+def test_toxicity_against_plain_loops(spark):
+    d, l = frames(spark)
+    long = " ".join("w%d zgrunk." % (i % 900) if i % 5000 == 0 else "w%d" % (i % 900) for i in range(60_000))
+    more = spark.createDataFrame([(950, long, "en", "s0"), (951, "a.b!c?\n\n. ", "en", "s0"), (951, "a.b!c?\n\n. ", "en", "s0")], "doc_id bigint, text string, lang string, source string")
+    d = d.unionByName(more.selectExpr("*", "1 AS score", "'x' AS y", "2 AS apart"))
+    model = tox.fit_toxicity(d, l)
+    got = tox.score_toxicity(d, model).select("doc_id", "score").collect()
+    want = [(r.doc_id, slow_score(model, r.text)) for r in d.select("doc_id", "text").collect()]
+    key = lambda x: (str(x[0]), round(x[1], 7))
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-7 for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)))
+    assert model.score(long) > 0.9
+
+
+def test_toxicity_of_empty_tables(spark):
+    d, l = frames(spark)
+    none = d.where("doc_id < -1")
+    model = tox.fit_toxicity(d, l)
+    assert tox.score_toxicity(none, model).count() == 0 and tox.offending_sentences(none, model).count() == 0
+    blank = tox.fit_toxicity(none, l)
+    assert tox.score_toxicity(d, blank).where("predicted = 1").count() == 0
+    assert tox.fit_toxicity(d, l.where("false")).weights == {}
+
+
+def test_training_lowers_the_noisy_or_loss():
+    docs, labels = corpus(250, 9)
+    rows = [(t, x[2]) for (_, t, _, _), x in zip(docs, labels)]
+
+    def loss(model):
+        p = [min(max(slow_score(model, t), 1e-12), 1 - 1e-12) for t, _ in rows]
+        return -sum(math.log(q if y else 1 - q) for q, (_, y) in zip(p, rows)) / len(rows)
+
+    few, many = tox.train(rows, steps=5), tox.train(rows, steps=300)
+    assert loss(many) < 0.5 * loss(few) and loss(many) < 0.2
