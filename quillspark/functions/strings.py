@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,20 @@ SPACE = r"\s+"
 LONG = 30
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind, Unicode's included, at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def not_blank(text: Column) -> Column:
+    return text.rlike(r"[^\s\p{Z}]")
+
+
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """Similarity of two strings without regard to case, 0 to 1.
 
@@ -91,3 +107,25 @@ def substitute_tokens(text: Column, values: dict[str, Column], defaults: dict[st
 
 def parse_money(text: Column) -> Column:
     return F.regexp_replace(text, "[$,]", "").try_cast("double")
+
+
+def slug(name: Column, length: int | None = 8) -> Column:
+    """The letters a to z of a name in lower case, the first ``length`` of them."""
+    letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
+    return letters if length is None else F.substr(letters, F.lit(1), F.lit(length))
+
+
+def serial(prefix: str, n: Column, width: int = 3) -> Column:
+    """``prefix`` and a number with zeros before it."""
+    text = n.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))
+
+
+def boundary_words(text: Column) -> Column:
+    """Words between boundaries of letters and digits, punctuation left out; an apostrophe or point inside a word stays."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"), F.lit(0))
+
+
+def local_path(url: Column) -> Column:
+    """A path of a ``file://`` URL, or of a path; percent escapes are resolved in URLs only."""
+    return F.when(F.startswith(url, F.lit("file://")), F.try_url_decode(F.replace(F.regexp_replace(url, "^file://", ""), F.lit("+"), F.lit("%2B")))).otherwise(url)

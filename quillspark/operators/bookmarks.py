@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.scratch import discard, materialize
+
 WIDTH = 20
 
 
-def flatten(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten(nodes: DataFrame) -> DataFrame:
     """doc_id, seq, node_id, title, level, children, path, parent of nodes (doc_id, node_id, parent_id, ord, title), in pre-order.
 
-    The paths grow level by level until no node is left; a level is one join on the parent. Nodes
-    without a way to a root are left out.
+    The paths grow level by level until no node is left, whatever the depth; a level is one join on the parent, and is
+    written before the next is made. Nodes without a way to a root are left out.
     """
     step = F.lpad(F.col("ord").cast("string"), WIDTH, "0")
-    now = nodes.where("parent_id IS NULL").select("doc_id", "node_id", F.lit(None).cast("bigint").alias("parent_id"), "title", F.lit(0).alias("level"), step.alias("path"))
-    done = now
-    for _ in range(max_depth):
-        up = now.select("doc_id", F.col("node_id").alias("parent_id"), F.col("level").alias("up_level"), F.col("path").alias("up_path"))
-        now = nodes.join(up, ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "title", (F.col("up_level") + 1).alias("level"), F.concat("up_path", F.lit("/"), step).alias("path"))
-        if now.isEmpty():
-            break
-        done = done.unionByName(now)
+    roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", F.lit(None).cast("bigint").alias("parent_id"), "title", F.lit(0).alias("level"), step.alias("path"))
+    levels = [materialize(roots, "outline-level")]
+    while not levels[-1].isEmpty():
+        up = levels[-1].select("doc_id", F.col("node_id").alias("parent_id"), F.col("level").alias("up_level"), F.col("path").alias("up_path"))
+        below = nodes.join(up, ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "title", (F.col("up_level") + 1).alias("level"), F.concat("up_path", F.lit("/"), step).alias("path"))
+        levels.append(materialize(below, "outline-level"))
+    done = nodes.sparkSession.read.schema(levels[0].schema).parquet(*(x._quillspark_path for x in levels))
     direct = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").cast("int").alias("children"))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "node_id")) - 1
     return done.join(direct, ["doc_id", "node_id"], "left").select("doc_id", seq.alias("seq"), "node_id", "parent_id", "title", "level", F.coalesce("children", F.lit(0)).alias("children"), "path")
@@ -44,27 +42,27 @@ def add(flat: DataFrame, items: DataFrame) -> DataFrame:
     """``items`` (doc_id, ord, title, page_index, page_count, parent_index) as new nodes: doc_id, index, title, parent, level.
 
     Items on pages that don't exist are passed over and take no index. A parent index counts the present nodes in
-    pre-order and then the items added so far; one that is out of range makes a root.
+    pre-order and then the items added so far; one that is out of range makes a root. A present parent is found
+    by one join; chains of new items are followed by joins that double their reach.
     """
-    present = flat.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "level")).alias("have"))
-    asked = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "title", "page_index", "page_count", "parent_index"))).alias("items"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "index", "title", "parent", "level"]
-        types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, asked, have in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                levels = [h["level"] for h in sorted(have or [], key=lambda h: h["seq"])]
-                for x in asked:
-                    if x["page_index"] is None or not 0 <= x["page_index"] < x["page_count"]:
-                        continue
-                    p = x["parent_index"]
-                    known = p is not None and 0 <= p < len(levels)
-                    out.append((doc, len(levels), x["title"], p if known else -1, levels[p] + 1 if known else 0))
-                    levels.append(out[-1][4])
-            cols = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    both = asked.join(present, "doc_id", "left").select("doc_id", "items", "have")
-    return both.mapInArrow(place, "doc_id bigint, index int, title string, parent int, level int")
+    have = flat.groupBy("doc_id").agg(F.count("*").cast("int").alias("have"))
+    real = items.where("page_index >= 0 AND page_index < page_count").join(have, "doc_id", "left")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "title", "page_index", "parent_index"))
+    numbered = real.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("index", (F.col("have") + n - 1).cast("int"))
+    p = F.col("parent_index")
+    numbered = numbered.withColumn("parent", F.when((p >= 0) & (p < F.col("index")), p).otherwise(-1).cast("int"))
+    present = flat.select("doc_id", F.col("seq").cast("int").alias("parent"), F.col("level").alias("up"))
+    known = F.when(F.col("parent") < 0, 0).when(F.col("parent") < F.col("have"), F.col("up") + 1)
+    state = numbered.join(present, ["doc_id", "parent"], "left").select("doc_id", "index", "title", "parent", known.cast("int").alias("level"), F.col("parent").alias("to"), F.lit(1).alias("steps"))
+    state = materialize(state, "new-bookmarks")
+    while not state.where("level IS NULL").isEmpty():
+        there = state.select("doc_id", F.col("index").alias("to"), F.col("level").alias("to_level"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        open_ = F.col("level").isNull()
+        hop = state.join(there, ["doc_id", "to"], "left").select(
+            "doc_id", "index", "title", "parent", F.when(open_, F.col("to_level") + F.col("steps")).otherwise(F.col("level")).alias("level"),
+            F.when(open_ & F.col("to_level").isNull(), F.col("next")).otherwise(F.col("to")).alias("to"),
+            F.when(open_ & F.col("to_level").isNull(), F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"),
+        )
+        then, state = state, materialize(hop, "new-bookmarks")
+        discard(then)
+    return state.select("doc_id", "index", "title", "parent", "level")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,28 +59,58 @@ def reorder(pages: DataFrame, orders: DataFrame) -> DataFrame:
     return got.select("doc_id", n.alias("new"), F.col("page_index").alias("from_page"), "width", "height", "rotation").withColumnRenamed("new", "page_index")
 
 
+def _per_document(df: DataFrame, item: Column, name: str) -> DataFrame:
+    """doc_id and the document's items as an array in order, so that a join with pages makes no page twice."""
+    return df.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias(name))
+
+
+def _order(df: DataFrame, *otherwise: str) -> Column:
+    return F.struct("ord", *otherwise) if "ord" in df.columns else F.struct(*otherwise)
+
+
 def move(pages: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves``: doc_id, source, target: one page to another place, those between shift by one."""
-    p, s, t = F.col("page_index"), F.col("source"), F.col("target")
-    new = F.when(p == s, t).when((s < t) & (p > s) & (p <= t), p - 1).when((s > t) & (p >= t) & (p < s), p + 1).otherwise(p)
-    return pages.join(moves, "doc_id", "left").withColumn("from_page", p).withColumn("page_index", F.when(s.isNull(), p).otherwise(new).cast("int")).drop("source", "target")
+    """``moves``: doc_id, source, target (and ord): one page to another place, those between shift by one.
+
+    Moves of one document are made after each other, by ord (else by source and target). Moves of or to a page that
+    does not exist are passed over.
+    """
+    counts = metadata(pages)
+    real = moves.join(counts, "doc_id").where("source BETWEEN 0 AND page_count - 1 AND target BETWEEN 0 AND page_count - 1")
+    steps = _per_document(real, F.struct(_order(moves, "source", "target").alias("o"), "source", "target"), "steps")
+
+    def step(p: Column, m: Column) -> Column:
+        s, t = m["source"], m["target"]
+        return F.when(p == s, t).when((s < t) & (p > s) & (p <= t), p - 1).when((s > t) & (p >= t) & (p < s), p + 1).otherwise(p)
+
+    new = F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), F.col("page_index").cast("int"), lambda p, m: step(p, m).cast("int"))
+    return pages.join(steps, "doc_id", "left").withColumn("from_page", F.col("page_index")).withColumn("page_index", new).drop("steps")
 
 
 def rotate_pages(pages: DataFrame, turns: DataFrame) -> DataFrame:
-    """``turns``: doc_id, page_index, degrees. Width and height change places where the turn is a quarter."""
+    """``turns``: doc_id, page_index, degrees; those of one page add up. Width and height change places where the turn is a quarter."""
+    whole = turns.groupBy("doc_id", "page_index").agg((F.sum("degrees") % 360).cast("int").alias("degrees"))
     d = F.coalesce(F.col("degrees"), F.lit(0))
     swap = d % 180 != 0
-    return pages.join(turns, ["doc_id", "page_index"], "left").select(
+    return pages.join(whole, ["doc_id", "page_index"], "left").select(
         "doc_id", "page_index", F.when(swap, F.col("height")).otherwise(F.col("width")).alias("width"),
         F.when(swap, F.col("width")).otherwise(F.col("height")).alias("height"), rotate(F.col("rotation"), d).alias("rotation"),
     )
 
 
 def insert(pages: DataFrame, new: DataFrame) -> DataFrame:
-    """``new``: doc_id, page_index, width, height: a page to put before that index; later pages shift."""
-    at = new.select("doc_id", F.col("page_index").alias("at"))
-    shifted = pages.join(at, "doc_id", "left").withColumn("page_index", F.when(F.col("page_index") >= F.col("at"), F.col("page_index") + 1).otherwise(F.col("page_index"))).drop("at")
-    return shifted.unionByName(new.select("doc_id", "page_index", "width", "height", F.lit(0).alias("rotation")))
+    """``new``: doc_id, page_index, width, height (and ord): a page to put before that index; later pages shift.
+
+    Pages of one document are put in after each other, by ord (else by index), each into what is there by then.
+    """
+    item = F.struct(_order(new, "page_index", "width", "height").alias("o"), "page_index", "width", "height")
+    steps = _per_document(new, item, "steps")
+    shift = lambda xs, p: F.aggregate(xs, p.cast("int"), lambda q, x: F.when(q >= x["page_index"], q + 1).otherwise(q).cast("int"))
+    none = F.array().cast(steps.schema["steps"].dataType)
+    old = pages.join(steps, "doc_id", "left").withColumn("page_index", shift(F.coalesce("steps", none), F.col("page_index"))).drop("steps")
+    later = F.when(F.col("i") + 1 < F.size("steps"), F.slice("steps", F.col("i") + 2, F.size("steps"))).otherwise(none)
+    added = steps.select("doc_id", "steps", F.posexplode("steps").alias("i", "x"))
+    added = added.select("doc_id", shift(later, F.col("x.page_index")).alias("page_index"), "x.width", "x.height", F.lit(0).alias("rotation"))
+    return old.unionByName(added)
 
 
 def page_changes(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -117,17 +117,18 @@ def fuzzy_word_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 GLYPHS_SQL = """
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents),
 g AS (SELECT doc_id, l // 63 AS page_index, l % 63 AS line, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) - 1 AS k FROM l WHERE t <> ''),
-c AS (SELECT doc_id, page_index, line * 10000000 + k AS seq, ch, 40.0 + 6 * k AS x, 40.0 + 12 * line + 10 AS y FROM g),
+c AS (SELECT doc_id, page_index, line * 10000000 + k AS seq, ch, 40.0 + 6 * k AS x, 40.0 + 12 * line + 6 * (line // 7) + 10 AS y,
+  CASE (line // 7) % 3 WHEN 0 THEN 20e0 WHEN 1 THEN 155e-1 ELSE 10e0 END - CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS size FROM g),
 d AS (SELECT *, trim(ch) = '' AS blank, lag(x) OVER o AS px, lag(y) OVER o AS py FROM c WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY seq)),
 i AS (SELECT *, sum(CASE WHEN blank OR coalesce(abs(y - py) > 5 OR x - (px + 6) > 2.4, FALSE) THEN 1 ELSE 0 END)
   OVER (PARTITION BY doc_id, page_index ORDER BY seq) AS island FROM d),
-w AS (SELECT doc_id, page_index, island, string_agg(ch, '' ORDER BY seq) AS text, min(x) AS x0, min(y) AS y0, max(x) + 6 AS x1 FROM i WHERE NOT blank GROUP BY 1, 2, 3),
-b AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY island) - 1 AS block_seq, text,
+w AS (SELECT doc_id, page_index, island, string_agg(ch, '' ORDER BY seq) AS text, min(x) AS x0, min(y) AS y0, max(x) + 6 AS x1, min(size) AS size FROM i WHERE NOT blank GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY island) - 1 AS block_seq, text, size,
   greatest(0, least(1, x0 / 595.0)) AS x, greatest(0, least(1, (y0 - 10) / 842.0)) AS y, greatest(0, least(1, (x1 - x0) / 595.0)) AS width, 10 / 842.0 AS height FROM w)"""
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.words(layout.glyphs(table(spark, sf_dir, "documents")), layout.PAGE_W, layout.PAGE_H)
+    return segmentation.words(layout.page_glyphs(table(spark, sf_dir, "documents")), layout.PAGE_W, layout.PAGE_H)
 
 
 @query(f"""WITH {GLYPHS_SQL}
@@ -139,9 +140,9 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GLYPHS_SQL},
 e AS (SELECT *, abs(y - lag(y) OVER o) >= 1.5 * height AS br FROM b WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY y, x, block_seq)),
 p AS (SELECT *, CAST(sum(CASE WHEN br THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index ORDER BY y, x, block_seq) AS INT) AS paragraph FROM e)
-SELECT doc_id, CAST(page_index AS INT) AS page_index, paragraph, count(*) AS n_words, string_agg(text, ' ' ORDER BY y, x, block_seq) AS text, CAST(10 AS DOUBLE) AS avg_font_size, 0 AS heading_level FROM p GROUP BY 1, 2, 3""")
+SELECT doc_id, CAST(page_index AS INT) AS page_index, paragraph, count(*) AS n_words, string_agg(text, ' ' ORDER BY y, x, block_seq) AS text, round(avg(size), 6) AS avg_font_size, CASE WHEN avg(size) > 18 THEN 1 WHEN avg(size) > 15 THEN 2 ELSE 0 END AS heading_level FROM p GROUP BY 1, 2, 3""")
 def paragraph_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.headings(segmentation.paragraphs(_words(spark, sf_dir))).select("doc_id", "page_index", "paragraph", "n_words", "text", "avg_font_size", "heading_level")
+    return segmentation.headings(segmentation.paragraphs(_words(spark, sf_dir))).select("doc_id", "page_index", "paragraph", "n_words", "text", r6("avg_font_size").alias("avg_font_size"), "heading_level")
 
 
 @query(f"""WITH {GLYPHS_SQL},
@@ -209,10 +210,10 @@ def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ops.merge(_pages(spark, sf_dir), inputs).select("doc_id", "page_index", "from_doc", "from_page")
 
 
-@query(f"""WITH p AS ({PAGES_SQL}), r AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 99)) AS r(part, a, b))
+@query(f"""WITH p AS ({PAGES_SQL}), r AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 2147483647)) AS r(part, a, b))
 SELECT doc_id, part, CAST(page_index - a AS INT) AS page_index, CAST(page_index AS INT) AS from_page FROM p JOIN r ON page_index BETWEEN a AND b""")
 def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(a).alias("first"), F.lit(b).alias("last")) for i, (a, b) in enumerate(((0, 0), (0, 1), (1, 99)))))
+    ranges = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(a).alias("first"), F.lit(b).alias("last")) for i, (a, b) in enumerate(((0, 0), (0, 1), (1, 2147483647)))))
     asked = table(spark, sf_dir, "documents").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
     return page_ops.split(_pages(spark, sf_dir), asked)
 
@@ -230,25 +231,32 @@ def reorder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ops.reorder(_pages(spark, sf_dir), orders).select("doc_id", "page_index", "from_page")
 
 
-@query(f"""WITH p AS ({PAGES_SQL}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
-SELECT doc_id, CAST(CASE WHEN page_index = 0 THEN n - 1 ELSE page_index - 1 END AS INT) AS page_index, CAST(page_index AS INT) AS from_page FROM n""")
+@query(f"""WITH p AS ({PAGES_SQL}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+a AS (SELECT *, CASE WHEN page_index = 0 THEN n - 1 ELSE page_index - 1 END AS q FROM n)
+SELECT doc_id, CAST(CASE WHEN n < 2 THEN q WHEN q = 1 THEN 0 WHEN q = 0 THEN 1 ELSE q END AS INT) AS page_index, CAST(page_index AS INT) AS from_page FROM a""")
 def move_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each document goes last, then what is second goes first; a third move, of no page, is passed over."""
     p = _pages(spark, sf_dir)
-    moves = page_ops.metadata(p).select("doc_id", F.lit(0).alias("source"), (F.col("page_count") - 1).alias("target"))
-    return page_ops.move(p, moves).select("doc_id", "page_index", "from_page")
+    step = lambda o, s, t: F.struct(F.lit(o).alias("ord"), F.lit(s).alias("source"), t.alias("target"))
+    each = F.explode(F.array(step(2, 1, F.lit(0)), step(1, 0, F.col("page_count") - 1), step(3, -1, F.lit(0)))).alias("m")
+    return page_ops.move(p, page_ops.metadata(p).select("doc_id", each).select("doc_id", "m.*")).select("doc_id", "page_index", "from_page")
 
 
 @query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(page_index AS INT) AS page_index, CAST(CASE WHEN page_index = 0 THEN 842 ELSE 595 END AS DOUBLE) AS width,
-CAST(CASE WHEN page_index = 0 THEN 595 ELSE 842 END AS DOUBLE) AS height, CASE WHEN page_index = 0 THEN 270 ELSE 0 END AS rotation FROM p""")
+CAST(CASE WHEN page_index = 0 THEN 595 ELSE 842 END AS DOUBLE) AS height, CASE WHEN page_index = 0 THEN 270 WHEN page_index = 1 THEN 180 ELSE 0 END AS rotation FROM p""")
 def rotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_index"), F.lit(-90).alias("degrees"))
+    """A quarter to the left for the first page, two quarters to the right for the second."""
+    turn = lambda p, d: F.struct(F.lit(p).alias("page_index"), F.lit(d).alias("degrees"))
+    turns = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(turn(0, -90), turn(1, 90), turn(1, 90))).alias("t")).select("doc_id", "t.*")
     return page_ops.rotate_pages(_pages(spark, sf_dir), turns)
 
 
-@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(CASE WHEN page_index >= 1 THEN page_index + 1 ELSE page_index END AS INT) AS page_index, CAST(595 AS DOUBLE) AS width FROM p
-UNION ALL SELECT doc_id, 1, 300 FROM documents""")
+@query(f"""WITH p AS ({PAGES_SQL}) SELECT doc_id, CAST(CASE WHEN page_index >= 1 THEN page_index + 2 ELSE page_index + 1 END AS INT) AS page_index, CAST(595 AS DOUBLE) AS width FROM p
+UNION ALL SELECT doc_id, 2, 300 FROM documents UNION ALL SELECT doc_id, 0, 200 FROM documents""")
 def insert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_index"), F.lit(300.0).alias("width"), F.lit(400.0).alias("height"))
+    """A page before the second of each document, then one before the first."""
+    page = lambda o, at, w: F.struct(F.lit(o).alias("ord"), F.lit(at).alias("page_index"), F.lit(w).alias("width"), F.lit(400.0).alias("height"))
+    new = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(page(2, 0, 200.0), page(1, 1, 300.0))).alias("n")).select("doc_id", "n.*")
     return page_ops.insert(_pages(spark, sf_dir), new).select("doc_id", F.col("page_index").cast("int").alias("page_index"), "width")
 
 
@@ -269,16 +277,17 @@ def _raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("page_index"), F.row_number().over(seq).alias("seq"), subtype.alias("subtype"),
         F.col("l_quantity").alias("llx"), lly.alias("lly"), (F.col("l_quantity") + 20).alias("urx"), (lly + 10).alias("ury"),
-        (F.col("l_discount") * 10).alias("r"), F.col("l_tax").alias("g"), F.lit(None).cast("double").alias("b"), F.col("l_linestatus").alias("contents"), F.lit(595.0).alias("page_w"), F.lit(842.0).alias("page_h"),
+        (F.col("l_quantity") / 64).alias("r"), F.lit(0.5).alias("g"), F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") / 8.0).alias("b"), F.col("l_linestatus").alias("contents"), F.lit(595.0).alias("page_w"), F.lit(842.0).alias("page_h"),
     )
 
 
 ANNOTATIONS_SQL = """a AS (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS page_index, l_quantity AS llx, CAST(l_suppkey AS DOUBLE) AS lly, l_linestatus AS text,
+  CASE WHEN l_linestatus = 'O' THEN '#' || upper(printf('%02x%02x%02x', CAST(trunc(l_quantity / 64 * 255) AS INT), 127, CAST(trunc(l_linenumber / 8.0 * 255) AS INT))) ELSE '#000000' END AS color,
   CASE WHEN l_returnflag = 'A' THEN 'highlight' WHEN l_returnflag = 'N' THEN 'note' WHEN l_linenumber = 1 THEN 'link' ELSE 'freehand' END AS type FROM lineitem),
 n AS (SELECT *, CAST(page_index AS VARCHAR) || '_' || CAST(CAST(round(llx) AS INT) AS VARCHAR) || '_' || CAST(CAST(round(lly) AS INT) AS VARCHAR) || '_' || type AS id FROM a WHERE type <> 'link')"""
 
 
-@query(f"""WITH {ANNOTATIONS_SQL} SELECT doc_id, id, type, CAST(page_index AS INT) AS page_index, '#000000' AS color, round(llx / 595.0, 6) AS x,
+@query(f"""WITH {ANNOTATIONS_SQL} SELECT doc_id, id, type, CAST(page_index AS INT) AS page_index, color, round(llx / 595.0, 6) AS x,
 round(1 - (lly + 10) / 842.0, 6) AS y, round(20 / 595.0, 6) AS width, round(10 / 842.0, 6) AS height, text FROM n""")
 def annotations_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = annotations.list_annotations(_raw_annotations(spark, sf_dir))
@@ -427,11 +436,19 @@ def bookmark_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookmarks.remove(flat, flat.where("seq = 1").select("doc_id", "seq")).select("doc_id", "seq", "node_id", "level")
 
 
-@query()
+@query(f"""WITH RECURSIVE {OUTLINE_SQL}, f AS (SELECT doc_id, level, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS seq FROM t), n AS (SELECT doc_id, count(*) AS have FROM f GROUP BY 1),
+i AS (SELECT n_regionkey AS doc_id, s_suppkey, s_name AS title, s_suppkey * 37 % 500 - 1 AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 9 BETWEEN 1 AND 7),
+x AS (SELECT i.*, have + row_number() OVER (PARTITION BY doc_id ORDER BY s_suppkey) - 1 AS idx, have FROM i JOIN n USING (doc_id)),
+y AS (SELECT *, CASE WHEN p >= 0 AND p < idx THEN p ELSE -1 END AS parent FROM x),
+r AS (SELECT y.doc_id, idx, title, parent, CASE WHEN parent < 0 THEN 0 ELSE level + 1 END AS level FROM y LEFT JOIN f ON y.doc_id = f.doc_id AND parent = f.seq WHERE parent < have
+  UNION ALL SELECT y.doc_id, y.idx, y.title, y.parent, r.level + 1 FROM y JOIN r ON y.doc_id = r.doc_id AND y.parent = r.idx WHERE y.parent >= y.have)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(idx AS INT) AS index, title, CAST(parent AS INT) AS parent, CAST(level AS INT) AS level FROM r""")
 def bookmark_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = bookmarks.flatten(_outline(spark, sf_dir).where("node_id < 1000000"))
-    n = table(spark, sf_dir, "nation")
-    items = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"), (F.col("n_nationkey") % 9 - 1).alias("page_index"), F.lit(7).alias("page_count"), (F.col("n_nationkey") % 8 - 1).alias("parent_index"))
+    """Suppliers as new bookmarks below regions, nations, customers and other new ones; those on pages outside 0 to 6 are passed over."""
+    flat = bookmarks.flatten(_outline(spark, sf_dir))
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    key = F.col("s_suppkey")
+    items = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").cast("bigint").alias("doc_id"), key.alias("ord"), F.col("s_name").alias("title"), (key % 9 - 1).cast("int").alias("page_index"), F.lit(7).alias("page_count"), (key * 37 % 500 - 1).cast("int").alias("parent_index"))
     return bookmarks.add(flat, items)
 
 

@@ -112,7 +112,7 @@ def test_unpaired_pages(spark):
 def test_words_break_at_gaps_and_lines(spark):
     chars = [(1, 0, i, c, x, y, 6.0, 10.0, 10.0, "F") for i, (c, x, y) in enumerate([(" ", 0.0, 20.0), ("a", 6.0, 20.0), ("b", 12.0, 20.0), ("c", 20.5, 20.0), ("d", 26.5, 26.0), ("ﬁ", 32.5, 26.0), (" ", 38.5, 26.0), ("😀", 44.5, 26.0)])]
     df = spark.createDataFrame(chars, "doc_id bigint, page_index int, seq bigint, ch string, x double, y double, width double, height double, font_size double, font_name string")
-    got = [r.text for r in segmentation.words(df, 595.0, 842.0).orderBy("block_seq").collect()]
+    got = [r.text for r in segmentation.words(segmentation.pack(df), 595.0, 842.0).orderBy("block_seq").collect()]
     assert got == ["ab", "c", "dﬁ", "😀"]
 
 
