@@ -10,18 +10,22 @@ LINE = 1.2
 
 
 def wrap(text: Column, chars: Column | int) -> Column:
-    """Lines of at most ``chars`` characters, words kept whole; a word that is longer has its own line; an empty paragraph is an empty line."""
+    """Lines of at most ``chars`` characters, words kept whole; a word that is longer has its own line; an empty paragraph is an empty line, one of spaces alone none."""
     limit = F.lit(chars) if isinstance(chars, int) else chars
 
     def paragraph(p: Column) -> Column:
         start = F.struct(F.lit(None).cast("string").alias("cur"), F.array().cast("array<string>").alias("done"))
 
         def step(a: Column, w: Column) -> Column:
-            joined = F.when(a["cur"].isNull(), w).otherwise(F.concat(a["cur"], F.lit(" "), w))
-            fits = a["cur"].isNull() | (F.length(joined) <= limit)
+            bare = F.coalesce(a["cur"], F.lit("")) == ""
+            joined = F.when(bare, w).otherwise(F.concat(a["cur"], F.lit(" "), w))
+            fits = bare | (F.length(joined) <= limit)
             return F.struct(F.when(fits, joined).otherwise(w).alias("cur"), F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"))
 
-        return F.aggregate(F.split(p, " "), start, step, lambda a: F.concat(a["done"], F.array(F.coalesce(a["cur"], F.lit("")))))
+        def last(a: Column) -> Column:
+            return F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+
+        return F.when(p == "", F.array(F.lit(""))).otherwise(F.aggregate(F.split(p, " "), start, step, last))
 
     return F.flatten(F.transform(F.split(text, "\n"), paragraph))
 

@@ -573,9 +573,18 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
+def _more() -> None:
+    """The queries of the other modules, which register themselves here."""
+    from quillspark.plans import generation
+
+    generation.queries_loaded()
+
+
 def queries() -> dict[str, Query]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(ORACLES)
