@@ -34,20 +34,20 @@ def text_height(lines: Column, size: Column | float, margin: Column | float = 0.
     return F.when(lines > 0, lines * LINE * size + margin).otherwise(0.0)
 
 
-def paginate(elements: DataFrame, keys: list[str], order: list[str], height: str, room: float) -> DataFrame:
+def paginate(elements: DataFrame, keys: list[str], order: list[str], height: str, room: float, after: str | None = None) -> DataFrame:
     """``elements`` with page (from 0) and top: a page breaks before an element that does not fit under what is on it.
 
-    One that is taller than a page breaks too. The running sum starts over at each break, so it is a fold over the
+    One that is taller than a page breaks too. ``after``: space below an element, which never breaks a page itself. The running sum starts over at each break, so it is a fold over the
     ordered heights of a key, in one row.
     """
-    item = F.struct(*order, F.col(height).alias("_h"), F.struct(*[c for c in elements.columns if c not in keys]).alias("_row"))
+    item = F.struct(*order, F.col(height).alias("_h"), (F.col(after) if after else F.lit(0.0)).alias("_after"), F.struct(*[c for c in elements.columns if c not in keys]).alias("_row"))
     lists = elements.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"))
     start = F.struct(F.lit(0).alias("page"), F.lit(0.0).alias("cursor"), F.array().cast("array<struct<page:int,top:double>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         over = a["cursor"] + x["_h"] > room
         page, top = F.when(over, a["page"] + 1).otherwise(a["page"]), F.when(over, 0.0).otherwise(a["cursor"])
-        return F.struct(page.alias("page"), (top + x["_h"]).alias("cursor"), F.concat(a["out"], F.array(F.struct(page.alias("page"), top.alias("top")))).alias("out"))
+        return F.struct(page.alias("page"), (top + x["_h"] + x["_after"]).alias("cursor"), F.concat(a["out"], F.array(F.struct(page.alias("page"), top.alias("top")))).alias("out"))
 
     placed = lists.select(*keys, F.explode(F.arrays_zip("xs", F.aggregate("xs", start, step, lambda a: a["out"]).alias("at"))).alias("z"))
     return placed.select(*keys, "z.xs._row.*", "z.at.page", "z.at.top")
