@@ -33,7 +33,8 @@ WORDS = 32
 HASHED = 16
 CONTENT = ENDS + WORDS + 5
 PAGE = 6 + 2 * HASHED
-MEMO = 300_000
+MEMO = 100_000
+PIECE = 1024
 _BUCKETS: dict[str, tuple[int, int, bool]] = {}
 
 
@@ -103,9 +104,8 @@ def quality_views(docs: DataFrame, carry: list[str] | None = None) -> Views:
     schema = T.StructType([*asked.schema.fields[:kept], T.StructField("a", numbers), T.StructField("b", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # Few texts at a time are Python objects, however many a batch has.
+        for batch in (whole.slice(at, PIECE) for whole in batches for at in range(0, whole.num_rows, PIECE)):
             text, lang, source = (batch.column(kept + i).to_pylist() for i in range(3))
             a = np.concatenate([content_view(t) for t in text]).astype(np.float32)
             b = np.concatenate([page_view(*x) for x in zip(text, lang, source, strict=True)]).astype(np.float32)
