@@ -10,7 +10,7 @@ A window is ``width`` words in a row. Windows are compared in two steps that los
    one by one.
 
 Word sequences are compared by two independent 64-bit hashes, sums of word hashes times powers of odd bases modulo 2**64.
-Such sums are weak only for sequences of 2,048 words and more that are alike in a certain way; runs are
+Such sums are weak for sequences of thousands of words that are alike in a certain way; runs are
 shorter, which is what their bound is for. Counts are pre-aggregated, so a passage
 that a third of the documents share costs a row per task, and nothing is collected per passage.
 """
@@ -32,7 +32,7 @@ from quillspark.scratch import discard, materialize
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D | 5)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 RUNS = "doc {}, t bigint, mz bigint, r1 bigint, r2 bigint, s0 int, n int"
-LONGEST = 64
+LONGEST = 256
 RUN_FIELDS = ("doc", "t", "mz", "r1", "r2", "s0", "n")
 
 
@@ -131,15 +131,17 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c.astype(np.int32 if i > 3 else np.int64)) for i, c in enumerate(cols))], names=RUN_FIELDS)
 
     runs = materialize(named.where("doc IS NOT NULL").select("doc", "body", "t").mapInArrow(find, RUNS.format(kind)), "runs")
-    shared = runs.groupBy("mz").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mz")
+    # Keys are written before they are joined, so that the join deals rows anew and can divide a key that many have.
+    shared = materialize(runs.groupBy("mz").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mz"), "shared-minimizers")
     cand = materialize(runs.join(shared, "mz"), "shared-runs")
     discard(runs)
+    discard(shared)
     place = F.struct("doc", "t", "s0")
     firsts = materialize(cand.groupBy("r1", "r2").agg(F.min(place).alias("p"), F.first("mz").alias("mz"), F.first("n").alias("n"), F.max("doc").alias("hi")), "first-runs")
     whole = cand.join(firsts.where("p.doc < hi").select("r1", "r2", F.col("p.doc").alias("d0")), ["r1", "r2"]).where("doc > d0")
     whole = whole.select("doc", "t", F.col("s0").alias("a"), (F.col("s0") + F.col("n") - 1).alias("b"))
 
-    open_ = firsts.groupBy("mz").agg(F.min("p.doc").alias("lo"), F.max("p.doc").alias("hi")).where("lo < hi").select("mz")
+    open_ = materialize(firsts.groupBy("mz").agg(F.min("p.doc").alias("lo"), F.max("p.doc").alias("hi")).where("lo < hi").select("mz"), "open-minimizers")
     asked = firsts.join(open_, "mz", "left_semi").groupBy(F.col("p.doc").alias("doc"), F.col("p.t").alias("t")).agg(
         F.collect_list(F.struct("r1", "r2", F.col("p.s0").alias("s0"), "n")).alias("runs")
     )
@@ -159,12 +161,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     windows = named.join(asked, ["doc", "t"]).select("doc", "body", "runs")
     windows = materialize(windows.mapInArrow(spread, f"w1 bigint, w2 bigint, r1 bigint, r2 bigint, off int, doc {kind}"), "windows")
     earlier = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    earlier = materialize(earlier, "shared-windows")  # so that the join deals rows anew and can divide a window that many have
+    earlier = materialize(earlier, "shared-windows")
     hit = windows.join(earlier, ["w1", "w2"]).where("doc > lo").select("r1", "r2", "off", F.col("doc").alias("d0")).distinct()
     single = cand.join(hit, ["r1", "r2"]).where("doc = d0").select("doc", "t", (F.col("s0") + F.col("off")).alias("a"), (F.col("s0") + F.col("off")).alias("b"))
     spans = whole.unionByName(single).groupBy("doc", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     spans = materialize(spans, "spans")
-    for x in (windows, earlier, firsts, cand):
+    for x in (windows, earlier, firsts, cand, open_):
         discard(x)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
