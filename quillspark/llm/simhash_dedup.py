@@ -294,8 +294,12 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one of each component left: the smallest id (nulls last), the first row on ties."""
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 4) -> DataFrame:
+    """The rows of ``docs`` with one of each component left: the smallest id (nulls last), the first row on ties.
+
+    Shingles have ``width`` words. Null texts, empty ones and those without words are one component; repeated rows are, too. All columns are
+    kept, whatever they are called; an empty table gives an empty table.
+    """
     columns_of(docs, [id_col, text_col])
     names = list(docs.columns)
     marked = add_fingerprint(docs, text_col, width, names)
