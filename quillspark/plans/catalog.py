@@ -64,13 +64,44 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, rows.withColumn("words", second_version(F.col("words")))
 
 
-@query()
+#: Characters outside ASCII that the texts have, and control characters that stand for them where DuckDB compares bytes.
+ACCENTS, STAND_INS = "àáâäçèéêëíîïñóôöùúûüßœæÿ", "".join(map(chr, (*range(1, 9), *range(14, 30))))
+
+SPLIT_SQL = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
+
+#: From pairs of word lists v(pid, a, b). r: a row of the table of common lengths each, and what the walk back does at its cells;
+#: t: the walk from the last cell; o: its ops in order, with the words' places.
+DIFF_SQL = """aw AS MATERIALIZED (SELECT pid, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM v), bw AS MATERIALIZED (SELECT pid, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM v),
+r AS (SELECT pid, 0 AS i, [CAST(0 AS INT) for x in range(0, len(b) + 1)] AS n, '' AS ds FROM v UNION ALL
+  SELECT pid, i, n, list_aggregate([CASE WHEN a[i] = b[j] THEN 'E' WHEN n[j] >= up[j + 1] THEN 'I' ELSE 'D' END for j in range(1, len(b) + 1)], 'string_agg', '') FROM
+    (SELECT pid, i, a, b, up, list_prepend(0, [list_max(c[1:j]) for j in range(1, len(b) + 1)]) AS n FROM
+      (SELECT r.pid, r.i + 1 AS i, a, b, r.n AS up, [CASE WHEN a[r.i + 1] = b[j] THEN r.n[j] + 1 ELSE r.n[j + 1] END for j in range(1, len(b) + 1)] AS c FROM r JOIN v ON v.pid = r.pid AND r.i < len(a)))),
+d AS MATERIALIZED (SELECT pid, i, ds FROM r WHERE i > 0),
+t AS (SELECT pid, CAST(len(a) AS INT) AS i, CAST(len(b) AS INT) AS j, '' AS op, 0 AS step FROM v UNION ALL
+  SELECT pid, CASE WHEN op = 'I' THEN i ELSE i - 1 END, CASE WHEN op = 'D' THEN j ELSE j - 1 END, op, step + 1 FROM
+    (SELECT t.pid, t.i, t.j, step, CASE WHEN t.i > 0 AND t.j > 0 THEN ds[t.j] WHEN t.j > 0 THEN 'I' ELSE 'D' END AS op FROM t LEFT JOIN d ON d.pid = t.pid AND d.i = t.i WHERE t.i + t.j > 0)),
+o AS MATERIALIZED (SELECT pid, -step AS pos, op, i + 1 AS i, j + 1 AS j FROM t WHERE step > 0)"""
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS pid, {SPLIT_SQL} AS a FROM conversations),
+v AS MATERIALIZED (SELECT pid, a, list_filter(list_transform(a, lambda x, i: CASE WHEN i % 11 = 0 THEN NULL WHEN i % 5 = 0 AND length(x) >= 6 THEN left(x, length(x) - 1) || 'q' WHEN i % 7 = 0 THEN 'zz' || x ELSE x END), lambda x: x IS NOT NULL) AS b FROM w),
+{DIFF_SQL}, g AS (SELECT *, sum(CASE WHEN op = 'E' THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY pos) AS gap FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY pid, gap, op ORDER BY pos) AS k FROM g),
+p AS (SELECT x.pid, x.gap, x.k, translate(aw.w, '{ACCENTS}', '{STAND_INS}') AS p, translate(bw.w, '{ACCENTS}', '{STAND_INS}') AS q
+  FROM k x JOIN k y ON x.pid = y.pid AND x.gap = y.gap AND x.k = y.k AND x.op = 'D' AND y.op = 'I' JOIN aw ON aw.pid = x.pid AND aw.i = x.i JOIN bw ON bw.pid = y.pid AND bw.j = y.j),
+z AS (SELECT pid, gap, k, CASE WHEN length(p) > 30 OR length(q) > 30 THEN 2.0 * len(list_filter(range(1, least(length(p), length(q)) + 1), lambda i: p[1:i] = q[1:i])) / (length(p) + length(q))
+  ELSE 1.0 - levenshtein(p, q) / CAST(greatest(length(p), length(q)) AS DOUBLE) END > 0.8 AS alike FROM p),
+c AS (SELECT pid, count(*) AS changed FROM (SELECT pid, bool_and(alike) OVER (PARTITION BY pid, gap ORDER BY k) AS ok FROM z) WHERE ok GROUP BY 1)
+SELECT pid AS pair_id, 0 AS page_index1, 0 AS page_index2, CAST(count(*) FILTER (WHERE op = 'I') - coalesce(any_value(changed), 0) AS BIGINT) AS added,
+  CAST(count(*) FILTER (WHERE op = 'D') - coalesce(any_value(changed), 0) AS BIGINT) AS deleted, CAST(coalesce(any_value(changed), 0) AS BIGINT) AS changed FROM o LEFT JOIN c USING (pid) GROUP BY pid""")
 def diff_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed between two versions of each text, per page."""
     return diff.compare(*_versions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS pid, conv_id, turn, {SPLIT_SQL} AS w FROM conversations),
+v AS MATERIALIZED (SELECT x.pid, x.w AS a, coalesce(y.w, []) AS b FROM w x LEFT JOIN w y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1), {DIFF_SQL}
+SELECT pid AS pair_id, count(*) FILTER (WHERE op = 'E') AS lcs, count(*) FILTER (WHERE op = 'D') AS only_old, count(*) FILTER (WHERE op = 'I') AS only_new FROM o GROUP BY 1""")
 def diff_lcs_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of the longest common word sequence of each turn and the next."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
