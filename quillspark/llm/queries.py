@@ -14,6 +14,7 @@ from quillspark.llm.quality_classifier import fit_quality, quality_views, score_
 from quillspark.llm.quality_rules import quality_rules
 from quillspark.llm.sharding import shard_documents
 from quillspark.llm.simhash_dedup import simhash_groups
+from quillspark.llm.simhash_sql import simhash_sql
 from quillspark.llm.substring_dedup import dedup_substrings
 from quillspark.llm.toxicity import fit_toxicity, score_toxicity
 from quillspark.llm.warc import read_warc, write_warc
@@ -161,4 +162,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_simhash_dedup": simhash_sql(), "op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_chat_format": OP10_SQL}
