@@ -208,3 +208,38 @@ def test_training_lowers_the_noisy_or_loss():
 
     few, many = tox.train(rows, steps=5), tox.train(rows, steps=300)
     assert loss(many) < 0.5 * loss(few) and loss(many) < 0.2
+
+
+def slow_quality(model, text, lang, source):
+    """Both views and the three logistic steps in plain loops."""
+    def logit(m, x):
+        z = m.w[0] + sum(w * max(-8.0, min(8.0, (v - a) / s)) for w, v, a, s in zip(m.w[1:], x, m.mean, m.scale))
+        return max(-30.0, min(30.0, z))
+
+    words = (text or "").split()
+    a = [0.0] * qc.CONTENT
+    for w in words:
+        end = zlib.crc32(w[-2:].encode())
+        a[end % qc.PLAIN_ENDS if w[-1].isalnum() else qc.PLAIN_ENDS + end % (qc.ENDS - qc.PLAIN_ENDS)] += 1 / len(words)
+        a[qc.ENDS + zlib.crc32(w.encode()) % qc.WORDS] += 1 / len(words)
+    if words:
+        counts = sorted((words.count(w) / len(words) for w in set(words)), reverse=True)
+        a[-5:] = [sum(x == y for x, y in zip(words, words[1:])) / len(words), len(counts) / len(words), counts[0], sum(counts[:5]), sum(w.isupper() for w in words) / len(words)]
+    t = text or ""
+    lines, n = t.split("\n"), max(len(words), 1)
+    b = [math.log1p(len(t)), math.log1p(len(lines)), math.log1p(max(map(len, lines))), math.log1p(n), len(t) / n, math.log1p(n / len(lines))] + [0.0] * (2 * qc.HASHED)
+    b[6 + zlib.crc32((lang or "").encode()) % qc.HASHED] = 1.0
+    b[6 + qc.HASHED + zlib.crc32((source or "").encode()) % qc.HASHED] = 1.0
+    la, lb = logit(model.content_scale, [logit(model.content, a)]), logit(model.page_scale, [logit(model.page, b)])
+    return [1 / (1 + math.exp(-z)) for z in (la, lb, logit(model.join, [la, lb]))]
+
+
+def test_quality_scores_against_plain_loops(spark):
+    d, l = frames(spark)
+    views = qc.quality_views(d, ["text", "lang", "source"])
+    model = qc.fit_quality(views, l)
+    rows = qc.score_quality(views, model).collect()
+    assert len(rows) == d.count()
+    for r in rows:
+        want = slow_quality(model, r.text, r.lang, r.source)
+        assert max(abs(x - y) for x, y in zip((r.content_score, r.page_score, r.score), want)) < 2e-3

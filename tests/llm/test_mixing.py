@@ -125,3 +125,28 @@ def test_empty_and_text_ids(spark):
     got = mix_sources(df).collect()
     assert sorted(r.doc_id for r in got) == ["x", "x", "y"] and sum(r.taken for r in got) == 4
     assert mix_sources(df.where("doc_id = 'z'")).count() == 0
+
+
+def test_copies_round_the_brute_force_rates(spark):
+    """Every document gets the whole number below or above its rate, and the sums follow the targets."""
+    rng = random.Random(11)
+    data = [(i, "w " * max(1, int(rng.lognormvariate(4, 1.2))), rng.choice("aaab") if i % 50 else "c") for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mix_sources(df).collect()}
+    sizes = {}
+    for _, t, s in data:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    targets = slow_targets(sizes)
+    for s, target in targets.items():
+        mine = [(i, len(t.split())) for i, t, x in data if x == s]
+        size = np.array([n for _, n in mine], dtype=float)
+        scale, lam = slow_tilt(size, np.ones(len(size)), target)
+        rate = np.minimum(3.0, np.exp(lam * size / scale))
+        copies = np.array([got[i].copies for i, _ in mine])
+        assert (copies >= np.floor(rate - 1e-6)).all() and (copies <= np.ceil(rate + 1e-6)).all()
+        assert abs((copies * size).sum() - target) <= max(0.02 * target, size.max())
+        # Documents of like size share a rate: their mean number of copies follows it.
+        order = np.argsort(size)
+        for part in np.array_split(order, 5):
+            if len(part) >= 100:
+                assert abs(copies[part].mean() - rate[part].mean()) < 0.15
