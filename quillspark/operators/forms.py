@@ -43,3 +43,9 @@ def create_fields(blocks: DataFrame, wanted: DataFrame, *, remove_text: bool = T
     kept = remove_in_regions(blocks, wanted) if remove_text else blocks
     size = F.greatest(F.lit(4.0), 0.75 * F.col("height"))
     return kept, wanted.select("doc_id", F.col("name").alias("id"), "name", "type", F.lit("").alias("value"), size.alias("font_size"))
+
+
+def partition(fields: DataFrame) -> DataFrame:
+    """``fields`` with ``section``: typed (texts, dropdowns), ticked (checkboxes, radio buttons), or null for others."""
+    section = F.when(F.col("type").isin("text", "dropdown"), "typed").when(F.col("type").isin("checkbox", "radio"), "ticked")
+    return fields.withColumn("section", section)

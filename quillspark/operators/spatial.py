@@ -50,3 +50,15 @@ def edit_content(blocks: DataFrame, edits: DataFrame, page_w: float, page_h: flo
     fitted = shrink_font(size, F.length("text") * advance, F.col("width"))
     added = edits.select(*PAGE, (F.col("x") + 1).alias("x"), (F.col("y") + F.col("height") * 0.15).alias("y"), "width", "height", "text", fitted.alias("font_size"), F.lit(True).alias("added"))
     return kept.select(*PAGE, "x", "y", "width", "height", "text", F.lit(None).cast("double").alias("font_size"), F.lit(False).alias("added")).unionByName(added)
+
+
+def attach(pages: DataFrame, redactions: DataFrame) -> DataFrame:
+    """Every page with its redaction areas; pages without have an empty list."""
+    areas = redaction_areas(redactions)
+    empty = F.array().cast(areas.schema["areas"].dataType)
+    return pages.join(areas, PAGE, "left").withColumn("areas", F.coalesce("areas", empty))
+
+
+def edits_applied(edits: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, edits_applied: how many edits are of a page that exists."""
+    return edits.join(pages.select(*PAGE), PAGE, "left_semi").groupBy("doc_id").agg(F.count("*").alias("edits_applied"))

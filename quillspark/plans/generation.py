@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import dates, geometry, lookups, strings
 from quillspark.functions.colors import parse_hex
-from quillspark.operators import docx_layout, forms, generate, marks, metadata, templates, viewer
-from quillspark.plans.catalog import LINES_SQL, PAGES_SQL, _pages, query, r6, table
+from quillspark.functions.templates import key_path_list
+from quillspark.operators import docx_layout, forms, generate, marks, metadata, spatial, templates, viewer
+from quillspark.plans.catalog import LINES_SQL, PAGES_SQL, _fields, _pages, query, r6, table
 from quillspark.sources import docx
 
 INVOICE = {
@@ -349,5 +350,44 @@ def measure_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tall.groupBy("conv_id").agg(of("wide").alias("tallest"), of("high").alias("stacked"))
 
 
+@query("""SELECT o_custkey, round(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0, 2) AS total, count(*) AS n FROM orders GROUP BY 1""")
+def money_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over prices that are texts such as $1,234.50; one that is none counts as nothing."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    text = F.concat(F.lit("$"), F.format_number(F.floor(cents / 100), 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.array(text, F.lit("n/a"))).alias("text"))
+    value = strings.parse_money(F.col("text"))
+    return rows.groupBy("o_custkey").agg(F.round(F.sum(value.cast("decimal(18,2)")).cast("double"), 2).alias("total"), F.count(value).alias("n"))
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(['typed', 'ticked']) AS section, unnest([CAST(2 AS BIGINT), 1]) AS n FROM customer""")
+def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields to type in and fields to tick of each customer's form."""
+    return forms.partition(_fields(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH p AS ({PAGES_SQL}), r AS (SELECT item_id AS doc_id, unnest([0, 0, 1, 50]) AS page_index FROM benchmark), n AS (SELECT doc_id, page_index, count(*) AS n FROM r GROUP BY 1, 2),
+e AS (SELECT r.doc_id, count(*) AS applied FROM r JOIN p ON p.doc_id = r.doc_id AND p.page_index = r.page_index GROUP BY 1)
+SELECT p.doc_id, CAST(p.page_index AS INT) AS page_index, coalesce(n, 0) AS n_areas, coalesce(applied, 0) AS edits_applied FROM p LEFT JOIN n USING (doc_id, page_index) LEFT JOIN e ON e.doc_id = p.doc_id""")
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the areas that are asked for on them, and how many of a document's areas are on pages that exist."""
+    pages = _pages(spark, sf_dir)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("page_index")) for i, p in enumerate((0, 0, 1, 50))))).alias("a")
+    areas = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), each).select("doc_id", "a.*", *(F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("width", 0.5), ("height", 0.1))))
+    applied = spatial.edits_applied(areas, pages)
+    return spatial.attach(pages, areas).join(applied, "doc_id", "left").select("doc_id", "page_index", F.size("areas").cast("bigint").alias("n_areas"), F.coalesce("edits_applied", F.lit(0)).cast("bigint").alias("edits_applied"))
+
+
+@query("""WITH j AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, k % 3 AS n_items, CASE WHEN k % 3 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS first, 0 AS n_missing FROM j""")
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays at a path of JSON, empty where there is none."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    data = F.to_json(F.struct(F.struct(F.slice(F.array(k, k + 1), F.lit(1), (k % 3).cast("int")).alias("items")).alias("more")))
+    rows = table(spark, sf_dir, "events").select("event_id", (k % 3).alias("k3"), F.parse_json(data).alias("v"))
+    items = key_path_list(F.col("v"), "more.items", "bigint")
+    return rows.select("event_id", F.size(items).cast("bigint").alias("n_items"), F.coalesce(F.get(items, 0).cast("string"), F.lit("")).alias("first"), F.size(key_path_list(F.col("v"), "no.items", "bigint")).alias("n_missing"))
+
+
 def queries_loaded() -> None:
     """Importing this module registers its queries."""

@@ -221,3 +221,15 @@ def test_docx_broken_files_and_page_breaks(spark):
         cursor += 15.6 + 4
     assert [(r.block, r.page, round(r.top, 6)) for r in placed] == want
     assert docx.parse_relationships(files).where("rel_id IS NOT NULL").count() == 0
+
+
+def test_pictures_and_font_estimates(spark):
+    from quillspark.functions import geometry
+    from quillspark.operators import docx_xml
+
+    xml = spark.range(1).select(F.lit(1).alias("doc_id"), docx_xml.picture_xml(F.lit("rId3"), F.lit(595.0), F.lit(842.0), F.lit(4)).alias("body"), F.array(F.struct(F.lit("rId3").alias("id"), F.lit("media/p.png").alias("target"))).alias("rels"))
+    files = docx.pack_docx(xml).selectExpr("CAST(doc_id AS string) AS path", "content")
+    r = docx_layout.with_targets(docx.parse_files(files), docx.parse_relationships(files)).first()
+    assert (r.image_rel, r.image_target) == ("rId3", "media/p.png") and abs(r.image_w - 595 * 0.9) < 1e-3 and abs(r.image_h - 842 * 0.9) < 1e-3
+    got = spark.range(1).select(*(geometry.layer_font(F.lit(h)).alias(str(h)) for h in (1.0, 10.0, 900.0)), geometry.recognised_font(F.lit(0.02), 842.0).alias("r")).first()
+    assert tuple(got)[:3] == (4.0, 8.0, 72.0) and abs(got.r - 0.85 * 0.02 * 842) < 1e-9
