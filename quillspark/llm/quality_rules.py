@@ -120,6 +120,7 @@ def quality_rules(
     frequent = frequent.join(limits, F.col("host").eqNullSafe(F.col("limit_host"))).where("in_docs > most").select(
         F.col("host").alias("f_host"), F.col("h").alias("f_h")
     )
+    frequent = materialize(frequent, "frequent-lines")  # so that the join deals rows anew and can divide a line that many have
     removed = (
         base.select("rid", "host", F.explode("lines").alias("line"))
         .join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line.h") == F.col("f_h")))

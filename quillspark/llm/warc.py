@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import columns_of
+from quillspark.scratch import discard, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -262,6 +263,7 @@ def write_warc(
         .where("n > 1 AND first IS NOT NULL")
         .select(F.col("digest").alias("d"), "first")
     )
+    firsts = materialize(firsts, "first-payloads")  # so that the join deals rows anew and can divide a payload that many have
     marked = p.join(firsts, p["digest"] == firsts["d"], "left").select("id", "url", "payload", "digest", "first")
 
     separator = EMPTY_MEMBER if compress else CLOSING
@@ -291,6 +293,7 @@ def write_warc(
         .option("maxRecordsPerFile", 1)
         .text(path)
     )
+    discard(firsts)
 
 
 def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
