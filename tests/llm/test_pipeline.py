@@ -48,6 +48,7 @@ def test_nulls_ties_repeats_long_texts_and_clashing_columns(spark, tmp_path):
     good = next(d for d, l in zip(docs, labels) if l[1])
     long = " ".join("w%d" % (i * 7919 % 100_003) for i in range(60_000))
     rows += [(None, None, None, None, None), (901, None, "en", "s0", 0), (902, "", "en", None, 0), (903, " \n\t ", None, "s1", 5), (904, long, "en", "s1", len(long))]
+    rows += [(906, good[1] * 400, "en", "s1", 1)]
     rows += [rows[0]] * 3 + [(None, good[1], "en", "s0", 5), (905, good[1], "en", "s0", 5)]
     write(spark, str(tmp_path), rows, labels, [(1, long[:300]), (2, None), (None, "x y z")], CLASHING)
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
