@@ -35,6 +35,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 CLOSING = b"\r\n\r\n"
+FIRST_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 CHUNK = 1 << 16
 ROW_ID = "WARC-Source-Row"
 
@@ -89,11 +90,14 @@ def _digests(block: bytes, said: str) -> tuple[bool, bool]:
     return True, value.lower() == own.hex() or value.upper().rstrip("=") == plain.rstrip("=")
 
 
-def _headers(raw: bytes) -> dict[str, str] | None:
-    """Named fields; a line that begins with white space goes on with the field before. None if a line is neither."""
+def _headers(buf: bytes, at: int, stop: int) -> dict[str, str] | None:
+    """Named fields between two places; a line that begins with white space goes on with the field before. None at the first line that is neither."""
     head: dict[str, str] = {}
     last = None
-    for line in raw.split(b"\r\n"):
+    while at < stop:
+        end = buf.find(b"\r\n", at, stop)
+        end = stop if end < 0 else end
+        line, at = buf[at:end], end + 2
         if line[:1] in (b" ", b"\t") and last is not None:
             head[last] += " " + line.strip().decode("utf-8", "replace")
             continue
@@ -110,10 +114,10 @@ def _parse(buf: bytes, at: int, closings: _Ahead) -> tuple[int, dict, bool] | st
     head_end = closings.next(at)
     if head_end < 0:
         return "headers do not end"
-    version, _, lines = buf[at:head_end].partition(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.\d+", version):
+    version = FIRST_LINE.match(buf, at, head_end + 2)
+    if version is None:
         return "no version line"
-    head = _headers(lines)
+    head = _headers(buf, version.end(), head_end)
     if head is None:
         return "broken header line"
     size = head.get("content-length", "")
