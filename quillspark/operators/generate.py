@@ -36,6 +36,7 @@ BOXES = f"array<{BOX}>"
 ITEM = f"struct<need:double,advance:double,head_h:double,boxes:{BOXES},head:{BOXES}>"
 ITEMS = f"array<{ITEM}>"
 PLACES = "array<struct<page:int,top:double,again:boolean>>"
+MADE = f"struct<boxes:{BOXES},height:double>"
 #: An item that never asks for room.
 ANY_ROOM = -1e12
 
@@ -91,6 +92,11 @@ def _item(need: Any, advance: Any, boxes: Column, head_h: float = 0.0, head: Col
     return F.struct(_d(need).alias("need"), _d(advance).alias("advance"), _d(head_h).alias("head_h"), boxes.alias("boxes"), (head if head is not None else _boxes()).alias("head")).cast(ITEM)
 
 
+def _made(boxes: Column, height: Any) -> Column:
+    """What an element draws and how high it is, as one value, so that neither is worked out twice."""
+    return F.struct(boxes.alias("boxes"), _d(height).alias("height")).cast(MADE)
+
+
 def bound(template: str, data: Column) -> Column:
     """A template text with its placeholders looked up in ``data``."""
     parts, at = [], 0
@@ -117,11 +123,10 @@ def _margin(el: dict) -> float:
     return float(el.get("marginBottom") or 0.0)
 
 
-def _text(el: dict, frame: Frame) -> tuple[Column, Column]:
-    """Boxes and height of a text; one that is empty has neither."""
+def _text(el: dict, frame: Frame) -> Column:
+    """A text; one that is empty draws nothing and has no height."""
     font = _font(frame, el.get("font"))
     limit = floor(float(el.get("maxWidth") or frame.width) / (ADVANCE * font.size) + 1e-9)
-    content = bound(el["content"], frame.data)
 
     def lay(text: Column) -> Column:
         def lines(ls: Column) -> Column:
@@ -129,70 +134,75 @@ def _text(el: dict, frame: Frame) -> tuple[Column, Column]:
                 w = F.length(t) * (ADVANCE * font.size)
                 return _box("text", _aligned(el, frame, w), i * (LINE * font.size), w, font.size, t, font)
 
-            return F.struct(F.transform(ls, line).cast(BOXES).alias("boxes"), (F.size(ls) * (LINE * font.size) + _margin(el)).alias("height"))
+            return _made(F.transform(ls, line).cast(BOXES), F.size(ls) * (LINE * font.size) + _margin(el))
 
-        return F.when(text == "", F.struct(_boxes().alias("boxes"), F.lit(0.0).alias("height"))).otherwise(let(wrap(text, limit), lines))
+        return F.when(text == "", _made(_boxes(), 0.0)).otherwise(let(wrap(text, limit), lines))
 
-    made = let(content, lay)
-    return made["boxes"], made["height"]
+    return let(bound(el["content"], frame.data), lay)
 
 
-def _simple(el: dict, frame: Frame) -> tuple[Column, Column]:
-    """Boxes and height of an element that is never divided."""
+def _simple(el: dict, frame: Frame) -> Column:
+    """An element that is never divided."""
     kind = el["type"]
     if kind == "text":
         return _text(el, frame)
     if kind == "image":
-        src, w, h = bound(el["src"], frame.data), float(el["width"]), float(el["height"])
-        box = _boxes(_box("image", _aligned(el, frame, w), 0, w, h, src))
-        return F.when(src == "", _boxes()).otherwise(box), F.when(src == "", 0.0).otherwise(h + _margin(el))
+        w, h = float(el["width"]), float(el["height"])
+        draw = lambda src: F.when(src == "", _made(_boxes(), 0.0)).otherwise(_made(_boxes(_box("image", _aligned(el, frame, w), 0, w, h, src)), h + _margin(el)))
+        return let(bound(el["src"], frame.data), draw)
     if kind == "line":
         thick = float(el.get("thickness", 1.0))
-        return _boxes(_box("line", frame.x, 0, frame.width, thick, color=el.get("color", "#CCCCCC"))), F.lit(thick + _margin(el))
+        return _made(_boxes(_box("line", frame.x, 0, frame.width, thick, color=el.get("color", "#CCCCCC"))), thick + _margin(el))
     if kind == "spacer":
-        return _boxes(), F.lit(float(el["height"]))
+        return _made(_boxes(), el["height"])
     if kind == "rect":
         w, h = float(el["width"]), float(el["height"])
         drawn = [_box("fill", frame.x, 0, w, h, color=el["fillColor"])] if el.get("fillColor") else []
         drawn += [_box("border", frame.x, 0, w, h, color=el["borderColor"])] if el.get("borderColor") else []
-        return _boxes(*drawn), F.lit(h + _margin(el))
+        return _made(_boxes(*drawn), h + _margin(el))
     if kind == "columns":
         return _columns(el, frame)
     if kind == "table":
-        rows = F.coalesce(F.size(_rows(el, frame)), F.lit(0))
         head, row = _row_heights(el, frame)
-        return _boxes(), rows * row + (head + _margin(el))
+        return _made(_boxes(), F.coalesce(F.size(_rows(el, frame)), F.lit(0)) * row + (head + _margin(el)))
     if kind == "keyValue":
         line = _font(frame, el.get("labelFont")).size * LINE + SPACING
-        return _boxes(), F.lit(line * len(el["entries"]) + _margin(el))
-    return _boxes(), F.lit(0.0)
+        return _made(_boxes(), line * len(el["entries"]) + _margin(el))
+    return _made(_boxes(), 0.0)
 
 
-def _stack(elements: list[dict], frame: Frame) -> tuple[Column, Column]:
-    """Boxes and height of elements below each other. Only plain ones are drawn; others take their room and are marked."""
-    boxes, height = [], F.lit(0.0)
-    for el in elements:
-        own, h = _simple(el, frame)
-        if el["type"] not in DRAWN_INSIDE:
-            own = F.when(h > 0, _boxes(_box(el["type"], frame.x, 0, frame.width, h, drawn=False))).otherwise(_boxes())
-        boxes.append(_shift(own, height))
-        height = height + h
-    return _all(boxes, BOXES), height
+def _stack(elements: list[dict], frame: Frame) -> Column:
+    """Elements below each other. Only plain ones are drawn; others take their room and are marked."""
+    if not elements:
+        return _made(_boxes(), 0.0)
+
+    def pile(parts: Column) -> Column:
+        boxes, height = [], F.lit(0.0)
+        for i, el in enumerate(elements):
+            part = F.get(parts, i)
+            own = part["boxes"]
+            if el["type"] not in DRAWN_INSIDE:
+                own = F.when(part["height"] > 0, _boxes(_box(el["type"], frame.x, 0, frame.width, part["height"], drawn=False))).otherwise(_boxes())
+            boxes.append(_shift(own, height))
+            height = height + part["height"]
+        return _made(_all(boxes, BOXES), height)
+
+    return let(F.array(*(_simple(el, frame) for el in elements)), pile)
 
 
-def _columns(el: dict, frame: Frame) -> tuple[Column, Column]:
+def _columns(el: dict, frame: Frame) -> Column:
     cols, gap = el["columns"], float(el.get("gap", 10.0))
     weight = sum(float(c["width"]) for c in cols)
     room = frame.width - gap * max(0, len(cols) - 1)
-    x, boxes, heights = frame.x, [], [F.lit(0.0)]
+    x, inside = frame.x, []
     for c in cols:
         width = room * float(c["width"]) / weight
-        inside, height = _stack(c.get("elements") or [], Frame(x, width, frame.font, frame.data))
-        boxes.append(inside)
-        heights.append(height)
+        inside.append(_stack(c.get("elements") or [], Frame(x, width, frame.font, frame.data)))
         x += width + gap
-    tallest = F.greatest(*heights) if len(heights) > 1 else heights[0]
-    return _all(boxes, BOXES), tallest + _margin(el)
+    if not inside:
+        return _made(_boxes(), _margin(el))
+    side_by_side = lambda parts: _made(F.flatten(F.transform(parts, lambda p: p["boxes"])), F.array_max(F.transform(parts, lambda p: p["height"])) + _margin(el))
+    return let(F.array(*inside), side_by_side)
 
 
 def _row_heights(el: dict, frame: Frame) -> tuple[float, float]:
@@ -262,11 +272,11 @@ def _flow(elements: list[dict], frame: Frame) -> Column:
         elif el.get("type") == "keyValue":
             parts.append(_key_values(el, frame))
         elif el.get("type") in (*DRAWN_INSIDE, "columns"):
-            boxes, height = _simple(el, frame)
-            item = F.array(_item(height, height, boxes))
             # What is empty does not break a page, even where nothing is left of it.
             empties = el["type"] in ("text", "image")
-            parts.append(F.when(height > 0, item).otherwise(F.array().cast(ITEMS)) if empties else item)
+            one = lambda m: F.array(_item(m["height"], m["height"], m["boxes"]))
+            some = lambda m: F.when(m["height"] > 0, one(m)).otherwise(F.array().cast(ITEMS))
+            parts.append(let(_simple(el, frame), some if empties else one))
     return _all(parts, ITEMS)
 
 
@@ -296,12 +306,10 @@ def generate(template: dict, rows: DataFrame, keys: list[str], data_col: str = "
     page_w, page_h = float(size["width"]), float(size["height"])
     margins = {"top": 40.0, "right": 40.0, "bottom": 40.0, "left": 40.0} | (template.get("margins") or {})
     frame = Frame(float(margins["left"]), page_w - float(margins["left"]) - float(margins["right"]), template.get("defaultFont") or {}, F.col("_data"))
-    header, header_h = _stack(template.get("header") or [], frame)
-    footer, footer_h = _stack(template.get("footer") or [], frame)
-    top = F.lit(float(margins["top"])) + header_h
-    bottom = F.lit(page_h - float(margins["bottom"])) - footer_h
     made = rows.select(*keys, F.col(data_col).alias("_data"))
-    made = made.select(*keys, _flow(template.get("body") or [], frame).alias("_items"), header.alias("_header"), footer.alias("_footer"), top.alias("_top"), bottom.alias("_bottom"))
+    made = made.select(*keys, _flow(template.get("body") or [], frame).alias("_items"), _stack(template.get("header") or [], frame).alias("_header"), _stack(template.get("footer") or [], frame).alias("_footer"))
+    top, bottom = F.lit(float(margins["top"])) + F.col("_header.height"), F.lit(page_h - float(margins["bottom"])) - F.col("_footer.height")
+    made = made.select("*", top.alias("_top"), bottom.alias("_bottom"))
     made = made.withColumn("_places", _places(F.col("_items"), F.col("_top"), F.col("_bottom")))
     pages = F.coalesce(F.array_max(F.transform("_places", lambda p: p["page"])), F.lit(0))
 
@@ -314,7 +322,7 @@ def generate(template: dict, rows: DataFrame, keys: list[str], data_col: str = "
     def on_each_page(p: Column) -> Column:
         part = lambda name, boxes, y: F.transform(_shift(boxes, y), lambda b: F.struct(p.alias("page"), F.lit(name).alias("part"), b.alias("b")))
         fill = [part("background", _boxes(_box("fill", 0, 0, page_w, page_h, color=template["backgroundColor"])), F.lit(0.0))] if template.get("backgroundColor") else []
-        return F.concat(*fill, part("header", F.col("_header"), F.lit(float(margins["top"]))), part("footer", F.col("_footer"), F.col("_bottom"))).cast(SEEN)
+        return F.concat(*fill, part("header", F.col("_header.boxes"), F.lit(float(margins["top"]))), part("footer", F.col("_footer.boxes"), F.col("_bottom"))).cast(SEEN)
 
     body = F.flatten(F.zip_with("_items", "_places", seen))
     around = F.flatten(F.transform(F.sequence(F.lit(0), pages), on_each_page))

@@ -159,7 +159,7 @@ b AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_in
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.words(layout.page_glyphs(table(spark, sf_dir, "documents")), layout.PAGE_W, layout.PAGE_H)
+    return segmentation.words(layout.page_glyphs(layout.spread(table(spark, sf_dir, "documents"))), layout.PAGE_W, layout.PAGE_H)
 
 
 @query(f"""WITH {GLYPHS_SQL}

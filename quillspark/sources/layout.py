@@ -10,6 +10,15 @@ LINES = 63
 BLOCK, BLOCK_GAP = 7, 6.0
 
 
+def spread(rows: DataFrame, least: int = 2) -> DataFrame:
+    """``rows`` dealt anew where the source has too few splits (under ``least`` for each core) for work that is heavy in each row.
+
+    Large sources have splits enough and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= least * cores else rows.repartition(least * cores)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, page_index, line, text: a row per line of each document; null texts have none."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "text"))
