@@ -10,7 +10,7 @@ from quillspark.functions.colors import parse_hex
 from quillspark.functions.templates import key_path_list
 from quillspark.operators import docx_layout, forms, generate, marks, metadata, spatial, templates, viewer
 from quillspark.plans.catalog import LINES_SQL, PAGES_SQL, _fields, _pages, query, r6, table
-from quillspark.sources import docx
+from quillspark.sources import docx, layout
 
 INVOICE = {
     "pageSize": {"width": 300, "height": 260},
@@ -77,7 +77,7 @@ SELECT o_orderkey, p1, 'body', 'text', unnest([20e0, 20 + 42 + 8]), y1, unnest([
 SELECT o_orderkey, CAST(page AS INT) AS page, part, kind, round(CAST(x AS DOUBLE), 6) AS x, round(CAST(y AS DOUBLE), 6) AS y, text FROM b""")
 def generate_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per order from a template with every kind of element, page breaks included."""
-    boxes = generate.generate(INVOICE, _invoice_data(spark, sf_dir), ["o_orderkey"])
+    boxes = generate.generate(INVOICE, layout.deal(_invoice_data(spark, sf_dir)), ["o_orderkey"])
     return boxes.select("o_orderkey", "page", "part", "kind", r6("x").alias("x"), r6("y").alias("y"), "text")
 
 

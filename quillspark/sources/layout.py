@@ -19,6 +19,12 @@ def spread(rows: DataFrame, least: int = 2) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= least * cores else rows.repartition(least * cores)
 
 
+def deal(rows: DataFrame) -> DataFrame:
+    """``rows`` over all shuffle partitions: adaptive execution joins small ones, which is wrong where little data is much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, page_index, line, text: a row per line of each document; null texts have none."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "text"))
