@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OVERLAY = "struct<id:string,pageIndex:int,x:double,y:double,width:double,height:double,selected:boolean,label:string>"
+#: Powers of 8 that are 0 and infinite.
+NOTHING, ALL = -999, 999
 
 
 def nearest_page(viewports: DataFrame, extents: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def nearest_page(viewports: DataFrame, extents: DataFrame) -> DataFrame:
     its own; the first on ties. ``extents``: doc_id, page_index, page_top, page_height. A viewport without a page has no row.
     """
     shown = (F.col("page_top") < F.col("top") + F.col("height")) & (F.col("page_top") + F.col("page_height") > F.col("top"))
-    seen = viewports.join(extents, "doc_id").where(shown)
+    seen = _near(viewports, "top", "height", extents).where(shown)
     apart = F.abs(F.col("page_top") + F.col("page_height") / 2 - F.col("top") - F.col("height") / 2)
     return seen.groupBy("view_id").agg(F.min_by("page_index", F.struct(apart.alias("apart"), "page_index")).alias("page_index"))
 
@@ -29,6 +31,40 @@ def tap_to_page(taps: DataFrame, extents: DataFrame) -> DataFrame:
     return hit.groupBy("tap_id").agg(F.min(place).alias("p")).select("tap_id", "p.page_index", "p.x", "p.y")
 
 
+def _near(marks: DataFrame, at: str, height: str | None, extents: DataFrame) -> DataFrame:
+    """Pairs of marks (doc_id, ``at``, ``height`` or none) and extents of a document, once each: all that meet, and few that don't.
+
+    A document is cut into cells, whose height is the least power of 8 that both a mark and a page fit in. A mark is in the cell where
+    it begins, a page in all cells where a mark that meets it can begin, two to four. Marks are written once for each power that pages have,
+    and pages once for each that marks have.
+    """
+    top, bottom = F.col("page_top").cast("double"), (F.col("page_top") + F.col("page_height")).cast("double")
+    # A page far from the top counts as higher than it is, so that cells' numbers stay exact.
+    size = F.greatest(F.abs(F.col("page_height").cast("double")), F.abs(top) * 2.0**-40)
+    pages = extents.where(bottom.isNotNull()).withColumn("page_power", _power(size))
+    marks = marks.where(F.col(at).isNotNull() & (F.col(height).isNotNull() if height else F.lit(True)))
+    marks = marks.withColumn("mark_power", _power(F.abs(F.col(height).cast("double"))) if height else F.lit(NOTHING))
+    mark_powers, page_powers = (d.agg(F.collect_set(c).alias(c)) for d, c in ((marks, "mark_power"), (pages, "page_power")))
+
+    def each(d: DataFrame, powers: DataFrame) -> DataFrame:
+        c = powers.columns[0]
+        return d.crossJoin(F.broadcast(powers)).withColumn(c, F.explode(c))
+
+    reach = F.pow(F.lit(8.0), "mark_power")
+    cell = F.greatest(F.pow(F.lit(8.0), "page_power"), reach, F.lit(1e-300))
+    cells = F.sequence(F.floor((top - reach) / cell), F.floor(bottom / cell))
+    pages = each(pages, mark_powers).withColumn("cell", F.explode(cells))
+    marks = each(marks, page_powers).withColumn("cell", F.floor(F.col(at).cast("double") / cell))
+    key = ["doc_id", "page_power", "mark_power", "cell"]
+    return marks.join(pages, key).drop(*key[1:])
+
+
+def _power(size: Column) -> Column:
+    """The least k with ``size`` <= 8 ** k; NOTHING for 0, ALL for what is not finite."""
+    k = F.ceil(F.log(8.0, F.least(size, F.lit(1e300)))).cast("int")
+    return F.when(~(size < 1e300), ALL).when(size == 0, NOTHING).otherwise(F.when(F.pow(F.lit(8.0), k) < size, k + 1).otherwise(k))
+
+
 def parse_overlays(texts: DataFrame) -> DataFrame:
     """doc_id, ord, overlay_id, page_index, x, y, width, height, selected, label from JSON arrays (doc_id, overlays).
 

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import spatial
+from quillspark.operators import spatial, viewer
 
 
 @contextmanager
@@ -55,3 +55,45 @@ def test_hit_test_parts_blocks_and_odd_values(spark, monkeypatch):
         monkeypatch.setattr(spatial, "BITS", bits)
         got = {r.point_id: ((r.overlay_id), r.n_hits) for r in spatial.hit_test(p, o).collect()}
         assert got == {i: (best[1], n) for i, (best, n) in want.items()} and len(got) > 50
+
+
+def _pages(spark, n):
+    """Pages of one document, 40 high, 10 apart."""
+    return spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page_index"), (50.0 * F.col("id")).alias("page_top"), F.lit(200.0).alias("page_width"), F.lit(40.0).alias("page_height"))
+
+
+def _odd_extents(seed):
+    """Pages (doc_id, page_index, page_top, page_width, page_height) and marks (id, doc_id, place, size), some on the edges of cells and pages or not numbers."""
+    rnd = random.Random(seed)
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, 8.0, 64.0, 64.00000000000001, 1e17, 1e17 + 64, -3.0, 5e-324, 1e308]
+    v = lambda a, b: rnd.choice(odd) if rnd.random() < 0.15 else rnd.choice([float(rnd.randrange(a, b)), rnd.uniform(a, b), 10.0 ** rnd.uniform(-6, 3)])
+    pages = [(rnd.choice([1, 2, 4]), i, v(-10, 400), 200.0, v(1, 70)) for i in range(120)]
+    return [p for p in pages if p[4] != 0], [(i, rnd.choice([None, 1, 2, 3]), v(-20, 400), v(0, 100)) for i in range(200)]
+
+
+#: Spark's order of doubles: NaN is the greatest and equals itself.
+def _big(a):
+    return (1, 0.0) if math.isnan(a) else (0, a)
+
+
+def test_nearest_page_of_a_long_document(spark):
+    n = 300_000
+    views = spark.range(n).select(F.col("id").alias("view_id"), F.lit(1).alias("doc_id"), (50.0 * F.col("id") + 5).alias("top"), F.lit(60.0).alias("height"))
+    with at_most(spark, 60):
+        got = viewer.nearest_page(views, _pages(spark, n)).agg(F.count("*"), F.count_if(F.col("page_index") == F.col("view_id"))).first()
+    assert tuple(got) == (n, n)
+
+
+def test_nearest_page_odd_values(spark):
+    pages, marks = _odd_extents(3)
+    want = {}
+    for i, doc, top, height in marks:
+        seen = []
+        for d, index, p_top, _, p_height in pages:
+            if d == doc and None not in (top, height, p_top, p_height) and _big(p_top) < _big(top + height) and _big(p_top + p_height) > _big(top):
+                seen.append((_big(abs(p_top + p_height / 2 - top - height / 2)), index))
+        if seen:
+            want[i] = min(seen)[1]
+    views = spark.createDataFrame(marks, "view_id int, doc_id int, top double, height double")
+    got = viewer.nearest_page(views, spark.createDataFrame(pages, "doc_id int, page_index int, page_top double, page_width double, page_height double"))
+    assert sorted(map(tuple, got.collect())) == sorted(want.items()) and len(want) > 50
