@@ -26,7 +26,7 @@ def tap_to_page(taps: DataFrame, extents: DataFrame) -> DataFrame:
     page_index, page_top, page_width, page_height. A tap beside all pages has no row.
     """
     on = (F.col("tap_y") >= F.col("page_top")) & (F.col("tap_y") <= F.col("page_top") + F.col("page_height"))
-    hit = taps.join(extents, "doc_id").where(on)
+    hit = _near(taps, "tap_y", None, extents).where(on)
     place = F.struct("page_index", (F.col("tap_x") / F.col("page_width")).alias("x"), ((F.col("tap_y") - F.col("page_top")) / F.col("page_height")).alias("y"))
     return hit.groupBy("tap_id").agg(F.min(place).alias("p")).select("tap_id", "p.page_index", "p.x", "p.y")
 

@@ -97,3 +97,23 @@ def test_nearest_page_odd_values(spark):
     views = spark.createDataFrame(marks, "view_id int, doc_id int, top double, height double")
     got = viewer.nearest_page(views, spark.createDataFrame(pages, "doc_id int, page_index int, page_top double, page_width double, page_height double"))
     assert sorted(map(tuple, got.collect())) == sorted(want.items()) and len(want) > 50
+
+
+def test_tap_on_a_long_document(spark):
+    n = 300_000
+    taps = spark.range(n).select(F.col("id").alias("tap_id"), F.lit(1).alias("doc_id"), F.lit(50.0).alias("tap_x"), (50.0 * F.col("id") + 10).alias("tap_y"))
+    with at_most(spark, 60):
+        got = viewer.tap_to_page(taps, _pages(spark, n)).agg(F.count("*"), F.count_if((F.col("page_index") == F.col("tap_id")) & (F.col("x") == 0.25) & (F.col("y") == 0.25))).first()
+    assert tuple(got) == (n, n)
+
+
+def test_tap_odd_values(spark):
+    pages, marks = _odd_extents(4)
+    want = {}
+    for i, doc, y, _ in marks:
+        on = [index for d, index, top, _, height in pages if d == doc and None not in (y, top, height) and _big(top) <= _big(y) <= _big(top + height)]
+        if on:
+            want[i] = min(on)
+    taps = spark.createDataFrame([(i, doc, 50.0, y) for i, doc, y, _ in marks], "tap_id int, doc_id int, tap_x double, tap_y double")
+    got = viewer.tap_to_page(taps, spark.createDataFrame(pages, "doc_id int, page_index int, page_top double, page_width double, page_height double"))
+    assert sorted((r.tap_id, r.page_index) for r in got.collect()) == sorted(want.items()) and len(want) > 50
