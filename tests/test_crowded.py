@@ -117,3 +117,16 @@ def test_tap_odd_values(spark):
     taps = spark.createDataFrame([(i, doc, 50.0, y) for i, doc, y, _ in marks], "tap_id int, doc_id int, tap_x double, tap_y double")
     got = viewer.tap_to_page(taps, spark.createDataFrame(pages, "doc_id int, page_index int, page_top double, page_width double, page_height double"))
     assert sorted((r.tap_id, r.page_index) for r in got.collect()) == sorted(want.items()) and len(want) > 50
+
+
+def test_taps_round_halves_as_the_sql(spark, tmp_path):
+    import duckdb
+    from quillspark.plans import catalog
+
+    spark.createDataFrame([(0, 0, 4.31), (1, 0, 1.17)], "event_id bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, 22)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("events", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.queries()["tap_to_page"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalog.oracle_sql()["tap_to_page"]).fetchall()) and len(got) == 2
